@@ -8,12 +8,11 @@ that bound on the weighted dot product.
 Inverted lists: the terms of a text in the order rare to frequent; the list stops where the rest of the text's weight (residual)
 plus the weight of its heaviest term (maximum) can no longer reach the bound. Linked texts then share two terms of their lists at
 least, so the lists are kept by *pairs* of terms, which are short even where single terms are frequent. Candidates pass an exact
-test on a 64-bit parity sketch (each differing word flips one bit), then dot product and word order are computed exactly.
+test on a 48-bit parity sketch (each differing word flips one bit), then dot product and word order are computed exactly.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from array import array
 from collections.abc import Iterator
@@ -26,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from varnika.functions.text import py_words
 from varnika.session import table, written
 
-SPREAD = 1.25
+SPREAD = 1.1
 #: Term counts are kept by hash: this many counters, whatever the corpus (4 MB to every executor).
 COUNTERS = 1 << 19
-_M64 = (1 << 64) - 1
-_MIX = 0x9E3779B97F4A7C15
+#: Lengths are packed into 16 bits; texts of more words skip the tests on length and sketch and are compared exactly.
+LONGEST = 0xFFFF
 
 
 class _Hashes(dict):
@@ -68,7 +67,11 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 
 def _normalised(records: DataFrame, fields: tuple[str, ...], id_col: str, split_col: str, source_col: str, train: str, evaluation: tuple[str, ...]) -> DataFrame:
-    """A row per record and non-blank text: id, side (0 train, 1 evaluation), split, source, field, text, cls."""
+    """A row per record and non-blank text: id, split, source, field, text, n, cls, side (1 train, 2 evaluation).
+
+    The same pass counts in how many texts each term stands, by the term's hash; these counts come as rows of side 0 (cls is the
+    counter, n the count), at most COUNTERS from each task.
+    """
     split = F.lower(F.trim(F.col(split_col)))
     rows = (
         records.select(F.col(id_col).cast("string").alias("id"), split.alias("split"), F.col(source_col).cast("string").alias("source"), *[F.col(f).alias(f"text{k}") for k, f in enumerate(fields)])
@@ -76,65 +79,74 @@ def _normalised(records: DataFrame, fields: tuple[str, ...], id_col: str, split_
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, total = _Hashes(), np.zeros(COUNTERS, dtype=np.int64)
         for x in batches:
+            found: list[int] = []
             for k in range(len(fields)):
                 words = [py_words(s) for s in x[f"text{k}"]]
                 texts = [" ".join(w) for w in words]
-                out = pd.DataFrame({"id": x["id"], "split": x["split"], "source": x["source"], "field": k, "text": texts, "n": [len(w) for w in words], "cls": np.array([xxhash.xxh64_intdigest(t, seed=k + 1) for t in texts], dtype=np.uint64).view(np.int64)})
+                out = pd.DataFrame({"id": x["id"], "split": x["split"], "source": x["source"], "field": k, "text": texts, "n": [len(w) for w in words], "cls": np.array([xxhash.xxh64_intdigest(t, seed=k + 1) for t in texts], dtype=np.uint64).view(np.int64), "side": np.where(x["split"] == train, 1, 2)})
                 yield out[[w != [] and w != ["null"] for w in words]]
+                for w in words:
+                    found += _terms(w, hashes)
+            total += np.bincount((np.array(found, dtype=np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"id": None, "split": None, "source": None, "field": -1, "text": None, "n": total[at], "cls": at, "side": 0})
 
-    out = rows.mapInPandas(run, "id string, split string, source string, field int, text string, n int, cls long")
-    return out.withColumn("side", F.when(F.col("split") == train, 0).otherwise(1))
+    return rows.mapInPandas(run, "id string, split string, source string, field int, text string, n int, cls long, side int")
 
 
-def _term_counts(texts: DataFrame) -> np.ndarray:
+def _term_counts(rows: DataFrame) -> np.ndarray:
     """How many texts hold a term, by hash: one array of COUNTERS numbers, added up on the executors."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = _Hashes(), np.zeros(COUNTERS, dtype=np.int64)
-        for x in batches:
-            found: list[int] = []
-            for s in x["text"]:
-                found += _terms(s.split(" "), hashes)
-            total += np.bincount((np.array(found, dtype=np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at, "n": total[at]})
-
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    got = texts.select("text").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["k"].to_numpy()] = got["n"].to_numpy()
+    got = rows.where("side = 0").groupBy("cls").agg(F.sum("n").alias("n")).toPandas()
+    counts[got["cls"].to_numpy()] = got["n"].to_numpy()
     return counts
 
 
-def _lists(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """The keys (pairs of terms) under which each class stands in the inverted lists."""
-    spark = classes.sparkSession
-    top = math.log1p(max(1, int(counts.max(initial=1))))
-    weight = (1 + (SPREAD - 1) * (1 - np.log1p(counts) / top)).astype(np.float32)
-    shared = spark.sparkContext.broadcast((counts.astype(np.int64).tobytes(), weight.tobytes()))
+def _weights(counts: np.ndarray) -> np.ndarray:
+    return (1 + (SPREAD - 1) * (1 - np.log1p(counts) / math.log1p(max(1, int(counts.max(initial=1)))))).astype(np.float32)
+
+
+def _lists(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """cls, key: the pairs of terms under which each class stands in the inverted lists; packed: its sketch (48 bits) and length; sides."""
+    shared = texts.sparkSession.sparkContext.broadcast((counts.astype(np.int64).tobytes(), _weights(counts).tobytes()))
     bound = 7 / (7 + SPREAD)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count, heavy = array("q", shared.value[0]), array("f", shared.value[1])
         hashes, mask = _Hashes(), COUNTERS - 1
         for x in batches:
-            sketches, keys = [], []
+            x = x.drop_duplicates(["cls", "side"])
+            packed, firsts = [], []
             for s in x["text"]:
                 terms = _terms(s.split(" "), hashes)
                 sketch = 0
                 for h in terms:
-                    sketch ^= 1 << (h >> 58)
-                terms = [h for _, h in sorted([(count[h & mask], h) for h in terms])]
-                weights = [heavy[h & mask] for h in terms]
-                left, k, need = sum(weights), 0, bound * sum(weights) - max(weights) - 1e-4
-                while k < len(terms) and left >= need:
-                    left -= weights[k]
+                    sketch ^= 1 << (h >> 32) % 48
+                packed.append(sketch << 16 | min(len(terms), LONGEST))
+                total = most = 0.0
+                order = []
+                for h in terms:
+                    at = h & mask
+                    total += heavy[at]
+                    order.append((count[at], h))
+                order.sort()
+                most = heavy[order[0][1] & mask]
+                left, k, need, enough = total, 0, bound * total - most - 1e-4, len(terms) // 8 + 2
+                while k < enough and left >= need:
+                    left -= heavy[order[k][1] & mask]
                     k += 1
-                sketches.append(sketch)
-                keys.append(np.array([(a * _MIX ^ b) & _M64 for a, b in itertools.combinations(terms[:k], 2)], dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"cls": x["cls"], "n": x["n"], "sketch": np.array(sketches, dtype=np.uint64).view(np.int64), "key": keys, "sides": x["sides"]})
+                firsts.append(np.array([h for _, h in order[:k]], dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"cls": x["cls"], "packed": np.array(packed, dtype=np.uint64).view(np.int64), "terms": firsts, "side": x["side"]})
 
-    return classes.mapInPandas(run, "cls long, n int, sketch long, key array<long>, sides int")
+    per_class = (
+        texts.mapInPandas(run, "cls long, packed long, terms array<long>, side int")
+        .groupBy("cls", "packed")
+        .agg(F.first("terms").alias("terms"), F.bit_or("side").alias("sides"))
+    )
+    pairs = F.expr("flatten(transform(terms, (x, i) -> transform(slice(terms, i + 2, size(terms)), y -> xxhash64(x, y))))")
+    return per_class.select("cls", "packed", "sides", F.explode(pairs).alias("key"))
 
 
 def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text", "target_text"), id_col: str = "id", split_col: str = "split", source_col: str = "source", train: str = "train", evaluation: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
@@ -146,24 +158,25 @@ def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text",
     Records without id or with a split that is none of those named take no part; blank and null texts match nothing; repeated rows
     count once; other columns are ignored. An empty table gives no links.
     """
-    members = written(_normalised(records, fields, id_col, split_col, source_col, train, evaluation))
-    counts = _term_counts(members)
-    classes = members.groupBy("cls", "field", "n").agg(F.min("text").alias("text"), F.bit_or(F.when(F.col("side") == 0, 1).otherwise(2)).alias("sides"))
-    lists = _lists(classes.where("n >= 8").select("cls", "n", "text", "sides"), counts).select("cls", "n", "sketch", "sides", F.explode("key").alias("key"))
-    lists = written(lists)
-    a = lists.where("sides != 2").select("key", F.col("cls").alias("cls_train"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    b = lists.where("sides != 1").select("key", F.col("cls").alias("cls_eval"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    need = F.ceil(F.greatest("n_a", "n_b") * 7 / 8)
+    rows = written(_normalised(records, fields, id_col, split_col, source_col, train, evaluation))
+    counts = _term_counts(rows)
+    members = rows.where("side > 0")
+    lists = _lists(members.where("n >= 8").select("cls", "text", "side"), counts)
+    a = lists.where("sides != 2").select("key", F.col("cls").alias("cls_train"), F.col("packed").alias("p_a"))
+    b = lists.where("sides != 1").select("key", F.col("cls").alias("cls_eval"), F.col("packed").alias("p_b"))
+    n_a, n_b = (F.col(c).bitwiseAND(F.lit(LONGEST)) for c in ("p_a", "p_b"))
+    need = F.ceil(F.greatest(n_a, n_b) * 7 / 8)
+    flips = F.bit_count(F.shiftrightunsigned(F.col("p_a").bitwiseXOR(F.col("p_b")), 16))
     near = (
         a.join(b, "key")
-        .where((F.col("cls_train") != F.col("cls_eval")) & (F.least("n_a", "n_b") >= need) & (F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= F.col("n_a") + F.col("n_b") - 2 * need))
+        .where((F.greatest(n_a, n_b) == LONGEST) | ((F.least(n_a, n_b) >= need) & (flips <= n_a + n_b - 2 * need)))
+        .where("cls_train != cls_eval")
         .select("cls_train", "cls_eval")
         .distinct()
     )
     wanted = near.select(F.explode(F.array("cls_train", "cls_eval")).alias("cls")).distinct()
     texts = members.select("cls", "text", "field").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"), F.min("field").alias("field"))
-    top = math.log1p(max(1, int(counts.max(initial=1))))
-    shared = records.sparkSession.sparkContext.broadcast((1 + (SPREAD - 1) * (1 - np.log1p(counts) / top)).astype(np.float32).tobytes())
+    shared = records.sparkSession.sparkContext.broadcast(_weights(counts).tobytes())
 
     @F.pandas_udf("common int, cosine double")
     def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -186,13 +199,14 @@ def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text",
         .where(F.col("got.common") * 8 >= F.greatest(words("x"), words("y")) * 7)
         .select("field", "cls_train", "cls_eval", "got.common", "got.cosine")
     )
-    same = classes.where("sides = 3").select("field", F.col("cls").alias("cls_train"), F.col("cls").alias("cls_eval"), F.col("n").alias("common"), F.lit(1.0).alias("cosine"))
+    both = members.groupBy("cls", "field", "n").agg(F.bit_or("side").alias("sides")).where("sides = 3")
+    same = both.select("field", F.col("cls").alias("cls_train"), F.col("cls").alias("cls_eval"), F.col("n").alias("common"), F.lit(1.0).alias("cosine"))
     return links.unionByName(same), members
 
 
 def _pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    a = members.where("side = 0").select(F.col("cls").alias("cls_train"), F.col("id").alias("id_train"), F.col("source").alias("source_train"))
-    b = members.where("side = 1").select(F.col("cls").alias("cls_eval"), F.col("id").alias("id_eval"), "split", F.col("source").alias("source_eval"))
+    a = members.where("side = 1").select(F.col("cls").alias("cls_train"), F.col("id").alias("id_train"), F.col("source").alias("source_train"))
+    b = members.where("side = 2").select(F.col("cls").alias("cls_eval"), F.col("id").alias("id_eval"), "split", F.col("source").alias("source_eval"))
     return links.join(a, "cls_train").join(b, "cls_eval")
 
 
