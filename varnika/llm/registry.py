@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("conversations", "split_overlap", "leaked_passages")
+MODULES = ("conversations", "cut_texts", "split_overlap", "leaked_passages")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
