@@ -28,6 +28,8 @@ from varnika.session import table, written
 SPREAD = 1.1
 #: Term counts are kept by hash: this many counters, whatever the corpus (4 MB to every executor).
 COUNTERS = 1 << 19
+#: Candidate pairs up to which their classes (16 bytes each pair) are broadcast; beyond, the join shuffles.
+SMALL = 500_000
 #: Lengths are packed into 16 bits; texts of more words skip the tests on length and sketch and are compared exactly.
 LONGEST = 0xFFFF
 
@@ -174,7 +176,10 @@ def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text",
         .select("cls_train", "cls_eval")
         .distinct()
     )
+    near = written(near)
     wanted = near.select(F.explode(F.array("cls_train", "cls_eval")).alias("cls")).distinct()
+    if near.count() <= SMALL:  # so few that no text has to be shuffled to find theirs
+        wanted = F.broadcast(wanted)
     texts = members.select("cls", "text", "field").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"), F.min("field").alias("field"))
     shared = records.sparkSession.sparkContext.broadcast(_weights(counts).tobytes())
 
