@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("conversations", "cut_texts", "split_overlap", "leaked_passages")
+MODULES = ("conversations", "cut_texts", "split_overlap", "leaked_passages", "spam_pages")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
