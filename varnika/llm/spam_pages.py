@@ -8,7 +8,8 @@
    between stops with at least the share ``SENTENCE`` of function words of any group, as a page may mix languages).
 3. Location and scatter per group: from median and median deviation, then concentration steps (moments of the half with the smallest
    distances), all over every page; only moments and histograms reach the driver.
-4. A page is spam if it is an outlier (chi-square quantile) in the spam direction (far fewer function words or far more links than its group) and less
+4. A page is spam if it is an outlier (chi-square quantile) in the spam direction (far fewer function words or far more links than its group;
+   where the group has no norm, far more links or repetition than the others) and less
    than half of its text are sentences.
 """
 
@@ -32,6 +33,7 @@ SENTENCE = 0.45
 LEAST_PAGES = 8
 LEAST_TOKENS = 5
 STEPS = 3
+OTHERS = "*"
 BINS = 600
 FEATURES = ("link", "mark", "entropy", "top", "repeat", "func", "sent")
 #: Chi-square quantile .999 and median for 7 degrees of freedom.
@@ -39,8 +41,11 @@ FAR, MEDIAN = 24.32, 6.346
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+\.(?:html?|php|test|example|invalid|com|org|net|info|in)\b\S*|<a\s[^>]*>|[#@+]\w[^\s|,]*|\b[a-z]+:[^\s|,]+", re.I)
 _STOP = re.compile(r"[\n।॥.?!|•]+")
-_WORD = re.compile(r"[^\W\d_](?:[^\W_]|[ऀ-ॣ])*")
+_WORD = re.compile(r"[^\W\d_][\wऀ-ॣ]*")
+#: What no link or tag lacks; most pages have none of it.
+_HINT = re.compile(r"[#@+/<]|www\.|\.\w|:\S")
 _MARK = re.compile(r"[^\w\sऀ-ॿ]")
+_LATIN = re.compile("[A-Za-z]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]+")
 _NAMES = {"hi": "hin hindi", "bho": "bhojpuri", "mai": "maithili", "awa": "awadhi", "mwr": "marwari", "en": "eng english"}
 _CODES = {w: k for k, v in _NAMES.items() for w in [k, *v.split()]}
@@ -49,15 +54,19 @@ _CODES = {w: k for k, v in _NAMES.items() for w in [k, *v.split()]}
 def _group(lang: str | None, text: str) -> str:
     label = re.split(r"[-_ ]", (lang or "").strip().lower())[0]
     code = _CODES.get(label, label if label.isalpha() and label not in ("und", "unknown", "xx", "null") else "")
-    latin = sum(c < "ɐ" for c in text[:400]) * 2 > len(text[:400]) and sum("a" <= c <= "z" for c in text[:400].lower()) > 20
-    return f"{code}/{'latin' if latin else 'other'}" if code else ""
+    return f"{code}/{'latin' if len(_LATIN.findall(text, 0, 400)) * 2 > min(400, len(text)) else 'other'}" if code else ""
 
 
-def _split(text: str) -> tuple[int, list[tuple[int, bool, list[str]]]]:
-    """Links, and for each piece between stops: characters, whether it holds a link, words."""
+def _unlinked(text: str) -> tuple[str, int]:
+    """The text in small letters with a null character for each link or tag, and their number."""
     text = _HIDDEN.sub("", text).lower()
-    text, links = _LINK.subn(" \x00 ", text)
-    return links, [(len(s), "\x00" in s, _WORD.findall(s)) for x in _STOP.split(text) if (s := x.strip())]
+    return _LINK.subn(" \x00 ", text) if _HINT.search(text) else (text, 0)
+
+
+def _split(text: str) -> tuple[int, int, list[tuple[int, bool, list[str]]]]:
+    """Links, their characters, and for each piece between stops: characters without links, whether it holds a link, words."""
+    bare, links = _unlinked(text)
+    return links, max(0, len(text) - len(bare) + 3 * links) if links else 0, [(len(s), "\x00" in s, _WORD.findall(s)) for x in _STOP.split(bare) if (s := x.strip())]
 
 
 def _counted(pages: DataFrame) -> dict[str, frozenset[str]]:
@@ -101,7 +110,7 @@ def _count(pages: DataFrame, groups: dict[str, frozenset[str]] | None, share: fl
 
         for x in batches:
             for lang, text in zip(x["lang"], x["text"]):
-                words = {w for _, link, p in _split(text)[1] if not link for w in p}
+                words = set(_WORD.findall(_unlinked(text)[0]))
                 g = _group(lang, text) if shared.value is None else _best(Counter(words), of, "")[0]
                 if g and words:
                     by[g].update(words)
@@ -129,12 +138,12 @@ def features(pages: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
         for x in batches:
             rows = []
             for doc, lang, text in zip(x["doc_id"], x["lang"], x["text"]):
-                links, parts = _split(text)
+                links, linked, parts = _split(text)
                 words = [w for _, _, p in parts for w in p]
                 n = len(words)
                 count = Counter(words)
                 best, covered = _best(count, of, _group(lang, text))
-                total = sum(s for s, _, _ in parts)
+                total = linked + sum(s for s, _, _ in parts)
                 sent = sum(s for s, link, p in parts if not link and len(p) >= 4 and sum(w in of for w in p) >= SENTENCE * len(p))
                 entropy = -sum(k / n * math.log(k / n) for k in count.values()) / math.log(n + 1) if n else 0.0
                 marks = len(_MARK.findall(text))
@@ -161,10 +170,11 @@ def _fit(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray
     """For each group: location, inverse scatter, robust deviation of each feature."""
     k = len(FEATURES)
     got = feats.where(f"tokens >= {LEAST_TOKENS}").groupBy("grp").agg(F.count("*").alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f) for f in FEATURES])
-    spread, fits = {}, {}
+    spread, fits, sizes = {}, {}, {}
     for r in got.where(f"n >= {LEAST_PAGES}").toLocalIterator():
         q = np.array([r[f] for f in FEATURES])
         spread[r.grp] = np.maximum((q[:, 2] - q[:, 0]) / 1.349, 0.01)
+        sizes[r.grp] = r.n
         fits[r.grp] = (q[:, 1], np.diag(1 / spread[r.grp] ** 2))
     edges = np.concatenate([[0], np.geomspace(1e-3, 1e6, BINS)])
     sc = feats.sparkSession.sparkContext
@@ -208,7 +218,13 @@ def _fit(feats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray
                 mean = s[0, 1:] / s[0, 0]
                 cov = s[1:, 1:] / s[0, 0] - np.outer(mean, mean) + np.diag((0.3 * spread[g]) ** 2)
                 fits[g] = (mean, np.linalg.inv(cov))
-    return {g: (*f, spread[g]) for g, f in fits.items()}
+    # a group that is mostly spam, or whose words are not known, is no norm: its pages are held against the mean of the others
+    sent, func = FEATURES.index("sent"), FEATURES.index("func")
+    good = {g: (*f, spread[g]) for g, f in fits.items() if f[0][sent] >= 0.5 and f[0][func] > 3 * spread[g][func]}
+    if good:
+        mean, dev = (np.average([f[i] for f in good.values()], axis=0, weights=[sizes[g] for g in good]) for i in (0, 2))
+        good[OTHERS] = (mean, np.diag(1 / dev**2), dev)
+    return good
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
@@ -221,20 +237,24 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     pages = documents.select("doc_id", "lang", "text").where("doc_id is not null and text is not null and trim(text) <> ''")
     feats = written(features(pages, _counted(pages)))
     fits = feats.sparkSession.sparkContext.broadcast(_fit(feats))
-    func, link = FEATURES.index("func"), FEATURES.index("link")
+    at = {f: i for i, f in enumerate(FEATURES)}
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plain = {g: f[:2] for g, f in fits.value.items()}
-        low = {g: f[0][func] - 3 * f[2][func] for g, f in fits.value.items()}
-        high = {g: f[0][link] + 3 * f[2][link] for g, f in fits.value.items()}
+        norms = fits.value
+        plain = {g: f[:2] for g, f in norms.items()}
+
+        def beyond(x: pd.DataFrame, norm: pd.Series, f: str, sign: int) -> np.ndarray:
+            limit = {g: n[0][at[f]] + sign * 3 * n[2][at[f]] for g, n in norms.items()}
+            return (sign * (x[f] - norm.map(limit)) > 0).to_numpy()
+
         for x in batches:
-            d = _distances(x, plain)
+            norm = x["grp"].where(x["grp"].isin(list(norms)), OTHERS)
+            d = _distances(x.assign(grp=norm), plain)
             enough = (x["tokens"] >= LEAST_TOKENS).to_numpy()
-            directed = (x["func"].to_numpy() < x["grp"].map(low).fillna(math.inf).to_numpy(dtype=float)) | (x["link"].to_numpy() > x["grp"].map(high).fillna(math.inf).to_numpy(dtype=float))
-            # a page in no known group has none of the words that any group knows
-            alone = ~x["grp"].isin(list(plain)).to_numpy()
-            spam = enough & directed & ((d > FAR) | alone) & (x["sent"] < 0.5).to_numpy() & ~(alone & (len(plain) == 0))
+            known = (norm != OTHERS).to_numpy()
+            directed = beyond(x, norm, "link", 1) | known & beyond(x, norm, "func", -1) | ~known & (beyond(x, norm, "repeat", 1) | beyond(x, norm, "entropy", -1))
+            spam = enough & directed & (d > FAR) & (x["sent"] < 0.5).to_numpy()
             yield pd.DataFrame({"doc_id": x["doc_id"], "grp": x["grp"], "distance": np.where(enough, d, np.nan), "func": x["func"], "sent": x["sent"], "spam": spam})
 
     return feats.mapInPandas(run, f"doc_id {kind}, grp string, distance double, func double, sent double, spam boolean")
