@@ -24,6 +24,8 @@ SHARES = (0.8, 0.1, 0.1)
 MOVE, LANGUAGE, WHOLE = 1, 8, 64
 #: Components ranked in one task at most, about.
 RANGE = 20_000
+#: Bundles up to which their table is broadcast.
+FEW = 100_000
 
 
 def speaker_number(c: Column) -> Column:
@@ -145,30 +147,28 @@ def allocate(bundles: list[tuple[int, str, str | None, int]], shares: tuple[floa
     return out
 
 
-def ranked(df: DataFrame, group: list[str], seed: int, key: str) -> DataFrame:
-    """df with rank (from 0) of each row in its group by the hash of key: ranges of the hash are counted first, then ranked within."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    df = df.withColumn("h", h)
-    sizes = df.groupBy(*group).agg(F.count("*").alias("size"))
-    parts = (F.col("size") / RANGE).cast("long") + 1
-    df = df.join(sizes, [F.col(g).eqNullSafe(sizes[g]) for g in group]).select(df["*"], F.pmod(F.shiftrightunsigned("h", 20), parts).alias("range"))
-    counts = df.groupBy(*group, "range").agg(F.count("*").alias("c"))
-    before = counts.select(*group, "range", (F.sum("c").over(W.partitionBy(*group).orderBy("range")) - F.col("c")).alias("before"))
-    on = [df[g].eqNullSafe(before[g]) for g in [*group, "range"]]
-    return df.join(before, on).select(df["*"], "before").withColumn("rank", F.row_number().over(W.partitionBy(*group, "range").orderBy("h", key)) - 1 + F.col("before")).drop("h", "before", "range")
+def ranked(df: DataFrame, group: str, seed: int, key: str) -> DataFrame:
+    """df (with the size of each row's group) with rank (from 0) of each row in its group by the hash of key: ranges of the hash are counted first, then ranked within."""
+    df = df.withColumn("h", F.xxhash64(F.lit(seed), F.col(key)))
+    df = df.withColumn("range", F.pmod(F.shiftrightunsigned("h", 20), (F.col("size") / RANGE).cast("long") + 1))
+    counts = df.groupBy(group, "range").agg(F.count("*").alias("c"))
+    before = counts.select(group, "range", (F.sum("c").over(W.partitionBy(group).orderBy("range")) - F.col("c")).alias("before"))
+    rank = F.row_number().over(W.partitionBy(group, "range").orderBy("h", key)) - 1 + F.col("before")
+    return df.join(before, [group, "range"]).withColumn("rank", rank).drop("h", "before", "range")
 
 
 def grouped_splits(records: DataFrame, by: str = "speaker", shares: tuple[float, ...] = SHARES, seed: int = 42) -> DataFrame:
     """id, component, split: the new split of each record; all records of a component share it. Nulls and repeats as in components()."""
     spark = records.sparkSession
-    comps = written(components(records, by))
-    bundles = [(r.n, r.label, r.now, r.c) for r in comps.groupBy("n", "label", "now").agg(F.count("*").alias("c")).toLocalIterator()]
-    plan = [(size, label, now, a, a + b) for (size, label, now), (a, b, _) in allocate(bundles, shares).items()]
-    cuts = spark.createDataFrame(plan, "n long, label string, now string, upto0 long, upto1 long")
-    placed = ranked(comps.select("component", "n", "label", "now"), ["n", "label", "now"], seed, "component")
+    comps = written(components(records, by).withColumn("bundle", F.concat_ws("|", "n", "label", F.coalesce("now", F.lit("")))))
+    counted = [(r.bundle, r.n, r.label, r.now, r.c) for r in comps.groupBy("bundle", "n", "label", "now").agg(F.count("*").alias("c")).toLocalIterator()]
+    plan = allocate([x[1:] for x in counted], shares)
+    cuts = spark.createDataFrame([(b, c, plan[n, lab, now][0], sum(plan[n, lab, now][:2])) for b, n, lab, now, c in counted], "bundle string, size long, upto0 long, upto1 long")
+    if len(counted) <= FEW:
+        cuts = F.broadcast(cuts)
+    placed = ranked(comps.select("component", "bundle").join(cuts, "bundle"), "bundle", seed, "component")
     split = F.when(F.col("rank") < F.col("upto0"), SPLITS[0]).when(F.col("rank") < F.col("upto1"), SPLITS[1]).otherwise(SPLITS[2])
-    assigned = placed.join(cuts, [placed["n"] == cuts["n"], placed["label"] == cuts["label"], placed["now"].eqNullSafe(cuts["now"])]).select("component", split.alias("split"))
-    return _keyed(records, by).select("id", "component").join(assigned, "component").select("id", "component", "split")
+    return _keyed(records, by).select("id", "component").join(placed.select("component", split.alias("split")), "component").select("id", "component", "split")
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
