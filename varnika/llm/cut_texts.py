@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from varnika.functions.text import BLANK, INVISIBLE
-from varnika.session import table
+from varnika.session import table, written
 
 #: Weight of the estimate of the next shorter level.
 PRIOR = 4.0
@@ -27,25 +27,22 @@ LEAST = 6
 
 
 def _tokens(text: str) -> str:
-    """SQL for the words of a text: numbers are #, ends of sentences are ¶, other marks within a sentence are a comma. Brackets and quotes are dropped."""
-    c = f"regexp_replace({text}, '(?s)^.*</think>|^\\\\s*<think>', '')"
-    c = f"regexp_replace(lower({c}), '^\\\\s*reply\\\\s*:', '')"
-    c = f"regexp_replace({c}, '[{INVISIBLE}]', '')"
-    c = f"regexp_replace({c}, '\\\\p{{Nd}}+([.,:/]\\\\p{{Nd}}+)*', '#')"
-    c = f"regexp_replace({c}, '[.…]{{2,}}\\\\s*$|…\\\\s*$', '')"
-    c = f"regexp_replace({c}, '[।॥.?!…|]+|\\\\n+', ' ¶ ')"
-    c = f"regexp_replace({c}, '[,;:]+|[—–]+|-+(?![\\\\p{{L}}])', ' , ')"
-    c = f"regexp_replace({c}, '[^\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}#¶,\\uFFFD]+', ' ')"
-    return f"filter(split({c}, ' '), x -> x <> '')"
+    """SQL for the words of a text: numbers are #, ends of sentences are ¶, other marks within a sentence are commas. Brackets and quotes are dropped."""
+    c = rf"lower(regexp_replace({text}, r'(?is)^(?:.*</think>|\s*<think>)?\s*(?:reply\s*:)?', ''))"
+    c = rf"regexp_replace({c}, r'\p{{Nd}}+(?:[.,:/]\p{{Nd}}+)*', '#')"
+    c = rf"regexp_replace({c}, r'(?:[.…]{{2,}}|…)\s*$|[{INVISIBLE}]+', '')"
+    c = rf"regexp_replace({c}, r'[।॥.?!…|\n]+', ' ¶ ')"
+    c = rf"regexp_replace({c}, r'[;:—–]+|-+(?!\p{{L}})', ',')"
+    return rf"regexp_extract_all({c}, r'[\p{{L}}\p{{M}}\p{{N}}#]+|¶|,+|\x{{FFFD}}', 0)"
 
 
 LEVELS = ("trigram", "bigram", "word", "letters")
 
 
-def _grams(i: str) -> str:
-    """SQL for the hashes of the n-grams that end at place i (from 1) of padded tokens t: a longer one for each level."""
-    last = f"t[{i}]"
-    return f"array(xxhash64(3, t[{i} - 2], t[{i} - 1], {last}), xxhash64(2, t[{i} - 1], {last}), xxhash64(1, {last}), xxhash64(0, right({last}, 3)))"
+def _grams(last: str) -> str:
+    """SQL for the hashes of the n-grams that end at place ``last`` (from 0) of the padded tokens t, one for each of LEVELS."""
+    w = [f"get(t, {last} - {k})" for k in range(3)]
+    return f"array(xxhash64(3, {w[2]}, {w[1]}, {w[0]}), xxhash64(2, {w[1]}, {w[0]}), xxhash64(1, {w[0]}), xxhash64(0, right({w[0]}, 3)))"
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -61,20 +58,21 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     # the end of the text itself: marks after the last word say nothing, whatever they are, but a comma
     strip = "slice(t, 1, size(t) - coalesce(array_position(transform(reverse(t), x -> x <> '¶'), true) - 1, 0))"
     rows = rows.withColumn("t", F.expr(strip)).withColumn("t", F.expr(f"if(length(regexp_replace(concat_ws('', t), '[¶,]', '')) >= {LEAST}, concat(array('¶', '¶'), t), array())"))
+    rows = written(rows.drop("text", "ok"))
     rows.createOrReplaceTempView("varnika_cut_rows")
-    grams = spark.sql(
+    spark.sql(
         f"""
-        SELECT g, count(*) AS n, count_if(e) AS ends FROM (
-          SELECT explode({_grams('i')}) AS g, e FROM (
-            SELECT t, i, coalesce(get(t, i) = '¶', true) AS e FROM (SELECT t, explode(sequence(3, size(t))) AS i FROM varnika_cut_rows WHERE size(t) > 2) WHERE t[i - 1] <> '¶'))
-        GROUP BY g""".replace("t[i - 2]", "get(t, i - 3)").replace("t[i - 1]", "get(t, i - 2)").replace("t[i]", "get(t, i - 1)").replace("WHERE get(t, i - 2) <> '¶'", "WHERE get(t, i - 1) <> '¶'")
-    )
-    grams.createOrReplaceTempView("varnika_cut_grams")
-    last = _grams("size(t)").replace("t[size(t) - 2]", "get(t, size(t) - 3)").replace("t[size(t) - 1]", "get(t, size(t) - 2)").replace("t[size(t)]", "get(t, size(t) - 1)")
+        SELECT g, count(*) AS n, count_if(is_end) AS ends FROM (
+          SELECT explode({_grams('i')}) AS g, coalesce(get(t, i + 1) = '¶', true) AS is_end
+          FROM (SELECT t, explode(sequence(2, size(t) - 1)) AS i FROM varnika_cut_rows WHERE size(t) > 2)
+          WHERE get(t, i) <> '¶')
+        GROUP BY g"""
+    ).createOrReplaceTempView("varnika_cut_grams")
     ends = spark.sql(
         f"""
         SELECT e.table_name, e.record_id, e.model, e.closed, e.pos, e.w, g.n - 1 AS n, g.ends - 1 AS ends
-        FROM (SELECT table_name, record_id, model, closed, get(t, size(t) - 1) AS w, posexplode({last}) AS (pos, g) FROM varnika_cut_rows WHERE size(t) > 2) e JOIN varnika_cut_grams g ON e.g = g.g"""
+        FROM (SELECT table_name, record_id, model, closed, get(t, size(t) - 1) AS w, posexplode({_grams('(size(t) - 1)')}) AS (pos, g) FROM varnika_cut_rows WHERE size(t) > 2) e
+        JOIN varnika_cut_grams g ON e.g = g.g"""
     )
     by = ends.groupBy("table_name", "record_id", "model").agg(
         F.max("w").alias("w"), F.max("closed").alias("closed"), *[F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"{c}{3 - k}") for k in range(4) for c in ("n", "ends")]
@@ -82,7 +80,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     share = "ends0 / (n0 + 8D)"
     for k in (1, 2, 3):
         share = f"(ends{k} + {PRIOR}D * ({share})) / (n{k} + {PRIOR}D)"
-    scored = by.withColumn("end_share", F.expr(share)).withColumn("cut", F.expr(f"w = ',' OR contains(w, '\\uFFFD') OR (end_share < {TERMINAL} AND (NOT closed OR n1 >= {SEEN}))"))
+    scored = by.withColumn("end_share", F.expr(share)).withColumn("cut", F.expr(f"startswith(w, ',') OR contains(w, '\\uFFFD') OR (end_share < {TERMINAL} AND (NOT closed OR n1 >= {SEEN}))"))
     rest = rows.where("size(t) <= 2").select("table_name", "record_id", "model", F.lit(None).cast("double").alias("end_share"), F.lit(False).alias("cut"))
     return scored.select("table_name", "record_id", "model", "end_share", "cut").unionByName(rest)
 
