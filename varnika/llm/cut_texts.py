@@ -1,7 +1,8 @@
 """Text cut off by field limits, in pure SQL.
 
 Over all texts, each word trigram is counted inside sentences and at their ends (before a full stop, danda, question mark or line
-end, or at the end of the text). The last trigram of each text is joined with these counts, its own occurrence taken off. Where the
+end; the end of a text counts only where such a mark stands there). The last trigram of each text is joined with these counts, its
+own occurrence taken off. Where the
 trigram is too rare to tell, the estimate falls back on the last two words, the last word, the last letters of the word: each level
 is smoothed with the next. A text is cut if its last words are frequent inside sentences but almost never terminal, or, unless a
 closing mark follows, if its last word is a fragment that occurs nowhere else, or if it ends in a broken character or a comma.
@@ -64,15 +65,15 @@ def cut_texts(texts: DataFrame) -> DataFrame:
         f"""
         SELECT g, count(*) AS n, count_if(is_end) AS ends FROM (
           SELECT explode({_grams('i')}) AS g, coalesce(get(t, i + 1) = '¶', true) AS is_end
-          FROM (SELECT t, explode(sequence(2, size(t) - 1)) AS i FROM varnika_cut_rows WHERE size(t) > 2)
+          FROM (SELECT t, explode(sequence(2, size(t) - if(closed, 1, 2))) AS i FROM varnika_cut_rows WHERE size(t) > 3)
           WHERE get(t, i) <> '¶')
         GROUP BY g"""
     ).createOrReplaceTempView("varnika_cut_grams")
     ends = spark.sql(
         f"""
-        SELECT e.table_name, e.record_id, e.model, e.closed, e.pos, e.w, g.n - 1 AS n, g.ends - 1 AS ends
-        FROM (SELECT table_name, record_id, model, closed, get(t, size(t) - 1) AS w, posexplode({_grams('(size(t) - 1)')}) AS (pos, g) FROM varnika_cut_rows WHERE size(t) > 2) e
-        JOIN varnika_cut_grams g ON e.g = g.g"""
+        SELECT e.table_name, e.record_id, e.model, e.closed, e.pos, e.w, coalesce(g.n, 0) - e.own AS n, coalesce(g.ends, 0) - e.own AS ends
+        FROM (SELECT table_name, record_id, model, closed, if(closed AND size(t) > 3, 1, 0) AS own, get(t, size(t) - 1) AS w, posexplode({_grams('(size(t) - 1)')}) AS (pos, g) FROM varnika_cut_rows WHERE size(t) > 2) e
+        LEFT JOIN varnika_cut_grams g ON e.g = g.g"""
     )
     by = ends.groupBy("table_name", "record_id", "model").agg(
         F.max("w").alias("w"), F.max("closed").alias("closed"), *[F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"{c}{3 - k}") for k in range(4) for c in ("n", "ends")]
