@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("conversations", "byte_language", "broken_pairs", "cut_texts", "grouped_splits", "consensus", "split_overlap", "leaked_passages", "spam_pages")
+MODULES = ("conversations", "byte_language", "broken_pairs", "cut_texts", "grouped_splits", "consensus", "split_overlap", "leaked_passages", "mixture", "spam_pages")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
