@@ -71,3 +71,88 @@ def squeeze(c: Column | str) -> Column:
     """Without invisible characters, each run of white space as one space, none at the ends."""
     c = F.col(c) if isinstance(c, str) else c
     return F.trim(F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]+", ""), r"(?U)\s+", " "))
+
+
+# Devanagari signs that the comparisons below fold.
+NUKTA, ANUSVARA, CHANDRABINDU = "़", "ं", "ँ"
+NASAL_WITH_VIRAMA = "[नमङणञ]्"
+#: Java pattern of a Devanagari word; the block holds danda too, as the counts that use it expect.
+DEVANAGARI_WORD = r"[ऀ-ॿ]+"
+
+
+def devanagari_words(c: Column | str) -> Column:
+    """The runs of Devanagari characters, as an array."""
+    return F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(f"({DEVANAGARI_WORD})"), 1)
+
+
+def clean_transcript(c: Column | str) -> Column:
+    """Composed; tags, bracketed and braced notes, dashes at the end and punctuation become spaces; single spaces, none at the ends."""
+    out = nfc(F.col(c) if isinstance(c, str) else c)
+    for pattern in (r"</?[A-Za-z_]+>", r"\[[^\]]*\]", r"\{[^}]*\}", r"(?U)-+\s*$", r"[।,.?!;:\"'()\-]", r"(?U)\s+"):
+        out = F.regexp_replace(out, pattern, " ")
+    return F.trim(out)
+
+
+def tokens(c: Column | str) -> Column:
+    """Words of the cleaned transcript; none for an empty one."""
+    return F.filter(F.split(clean_transcript(c), " "), lambda x: x != "")
+
+
+def phonetic_form(c: Column | str) -> Column:
+    """Composed, without nukta, all nasalisation as anusvara."""
+    out = F.replace(nfc(F.col(c) if isinstance(c, str) else c), F.lit(NUKTA), F.lit(""))
+    return F.regexp_replace(F.replace(out, F.lit(CHANDRABINDU), F.lit(ANUSVARA)), NASAL_WITH_VIRAMA, ANUSVARA)
+
+
+def routing_form(c: Column | str) -> Column:
+    """Composed, without zero-width joiners, chandrabindu as anusvara."""
+    return F.replace(F.translate(nfc(F.col(c) if isinstance(c, str) else c), "‌‍", ""), F.lit(CHANDRABINDU), F.lit(ANUSVARA))
+
+
+def pair_class(x: Column | str, y: Column | str) -> Column:
+    """How two words differ: IGNORE (same phonetic form or one edit apart), WRONG (half of the longer word or more edited), else UNSURE."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    raw = F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
+    return F.when(F.levenshtein(phonetic_form(x), phonetic_form(y)) <= 1, "IGNORE").when(raw >= 0.5, "WRONG").otherwise("UNSURE")
+
+
+def script_class(c: Column | str) -> Column:
+    """devanagari, latin, mixed, other or empty."""
+    c = F.col(c) if isinstance(c, str) else c
+    d, latin = c.rlike(r"[ऀ-ॿ]"), c.rlike("[A-Za-z]")
+    return F.when(c.isNull() | (c == ""), "empty").when(d & latin, "mixed").when(d, "devanagari").when(latin, "latin").otherwise("other")
+
+
+def final_answer(c: Column | str) -> Column:
+    """What follows the last closing think tag, then the first REPLY:, to the end of its line."""
+    block = strip(F.substring_index(F.col(c) if isinstance(c, str) else c, "</think>", -1))
+    rest = F.when(F.contains(block, F.lit("REPLY:")), strip(F.regexp_extract(block, r"(?s)^.*?REPLY:(.*)$", 1))).otherwise(block)
+    return strip(F.regexp_extract(rest, r"^([^\n\r]*)", 1))
+
+
+def last_tag(c: Column | str, tag: str, until: str | None = None) -> Column:
+    """First line after the last occurrence of tag, up to the tag ``until`` if that follows; null if there is no tag."""
+    c = F.col(c) if isinstance(c, str) else c
+    after = F.substring_index(c, tag, -1)
+    if until:
+        after = F.substring_index(after, until, 1)
+    return F.when(F.contains(c, F.lit(tag)), strip(F.regexp_extract(strip(after), r"^([^\n]*)", 1)))
+
+
+def whole_sentences(c: Column | str) -> Column:
+    """Up to the last sentence mark (danda, full stop, question or exclamation mark); all of it if there is none after the first character."""
+    c = F.col(c) if isinstance(c, str) else c
+    cut = F.regexp_extract(c, r"(?s)^(.+[।.?!])", 1)
+    return F.when(cut != "", cut).otherwise(c)
+
+
+def first_line(c: Column | str, label: str = "") -> Column:
+    """First line that is not blank, stripped, without a leading label; empty if there is none."""
+    lines = F.filter(F.transform(F.split(F.col(c) if isinstance(c, str) else c, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    out = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    return F.regexp_replace(out, rf"(?i)^{label}\s*:\s*", "") if label else out
+
+
+def display_name(c: Column | str) -> Column:
+    """bundeli_candidate becomes Bundeli."""
+    return F.initcap(F.replace(F.regexp_replace(F.col(c) if isinstance(c, str) else c, "_candidate$", ""), F.lit("_"), F.lit(" ")))
