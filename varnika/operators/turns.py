@@ -38,7 +38,8 @@ def pooled_evidence(turns: DataFrame, forms: DataFrame, words: Column, last: int
     """Per turn the lexicon forms of it and the last few turns: forms (how many different ones not shared), evidence (at most so many,
     shared ones last, most recent first, then by form). forms: word, shared."""
     w = W.partitionBy("conv").orderBy("turn").rowsBetween(-last, 0)
-    seen = turns.select("conv", "turn", F.explode(F.flatten(F.collect_list(F.transform(words, lambda x: F.struct(x.alias("word"), F.col("turn").alias("at")))).over(w))).alias("s")).select("conv", "turn", "s.*")
+    own = turns.withColumn("__w", words).withColumn("__w", F.transform("__w", lambda x: F.struct(x.alias("word"), F.col("turn").alias("at"))))
+    seen = own.withColumn("__s", F.flatten(F.collect_list("__w").over(w))).select("conv", "turn", F.explode("__s").alias("s")).select("conv", "turn", "s.*")
     hits = seen.join(F.broadcast(forms) if forms.limit(50_001).count() <= 50_000 else forms, "word").groupBy("conv", "turn", "word", "shared").agg(F.max("at").alias("at"))
     per = hits.groupBy("conv", "turn").agg(F.count_if(~F.col("shared")).alias("forms"), F.array_sort(F.collect_list(F.struct(F.col("shared").alias("a"), (-F.col("at")).alias("b"), F.col("word").alias("c")))).alias("e"))
     return per.select("conv", "turn", "forms", (F.col("forms") >= 2).alias("enough"), F.transform(F.slice("e", 1, lines), lambda x: x["c"]).alias("evidence"))
