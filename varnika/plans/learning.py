@@ -77,7 +77,7 @@ def t3_conversation_stream(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "boli_reviews.parquet").parquet(sf) if not _folder(spark, sf, "boli_reviews") else spark.readStream.schema(schema).parquet(f"{sf}/boli_reviews.parquet")
     turns = stream.select(F.col("conversation_id").alias("conv"), F.regexp_extract("turn_id", "([0-9]+)", 1).try_cast("int").alias("turn"), F.coalesce("understood", F.lit(True)).alias("understood"), F.lit(False).alias("end")).where("turn is not null and conv is not null")
     folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    out = E.follow_conversations(turns)
+    out = E.follow_conversations(turns, idle=False)
     E.run_once(out, f"{folder}/rows", f"{folder}/state")
     return spark.read.schema(out.schema).parquet(f"{folder}/rows").groupBy("dropped").agg(F.count("*").alias("turns"), F.max("turns").alias("longest"))
 

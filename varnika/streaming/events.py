@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Turns kept of a conversation, and how long it is kept without one.
 MAX_TURNS = 40
-IDLE = "1 hour"
+IDLE_MS = 3_600_000
 
 
 def outcome_summary(events: DataFrame, time: str = "ts", outcome: str = "event_type", value: str = "value", width: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -27,8 +27,8 @@ OUT = "conv string, turn int, turns int, context int, dropped boolean"
 STATE = "turns array<int>, understood array<boolean>, ended boolean"
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle: bool) -> Iterator[pd.DataFrame]:
+    if idle and state.hasTimedOut:
         state.remove()
         return
     turns, understood, ended = state.get if state.exists else ([], [], False)
@@ -48,14 +48,20 @@ def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
                 out.append((key[0], int(r.turn), len(turns), 0, True))
             ended = ended or bool(r.end)
     state.update((turns, understood, ended))
-    state.setTimeoutDuration(3_600_000)
+    if idle:
+        state.setTimeoutDuration(IDLE_MS)
     yield pd.DataFrame(out, columns=["conv", "turn", "turns", "context", "dropped"])
 
 
-def follow_conversations(turns: DataFrame) -> DataFrame:
+def follow_conversations(turns: DataFrame, idle: bool = True) -> DataFrame:
     """turns: conv, turn, understood, end. A row per new turn: how many turns its conversation has, how many understood ones its context
-    holds, and whether it was dropped (after the end, or beyond MAX_TURNS). State is kept per conversation for an hour without turns."""
-    return turns.groupBy("conv").applyInPandasWithState(_follow, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    holds, and whether it was dropped (after the end, or beyond MAX_TURNS). State is kept per conversation for an hour without turns;
+    with idle=False for ever, as a run over what is there needs it: one that waits for time-outs never ends."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _follow(key, batches, state, idle)
+
+    return turns.groupBy("conv").applyInPandasWithState(follow, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
