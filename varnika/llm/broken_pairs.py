@@ -29,6 +29,8 @@ ORDER = ("empty", "copy", "refusal", "wrong_language", "truncated")
 MAX_PAIRS = 6000
 DIM = 1 << 17
 EPOCHS = 8
+#: Texts that pass the language network at a time.
+CHUNK = 1000
 #: Training pairs in which a feature must stand.
 LEAST_SEEN = 4
 #: Pairs of the sample with a score above this for any defect after the first fit are not taken as sound.
@@ -143,6 +145,8 @@ def language_odds(net: B.Network, transcripts: list[str | None], answers: list[s
 
     Words that both share tell nothing about a difference, so the answer's probabilities are held against the transcript's language.
     """
+    if len(answers) > CHUNK:  # the network's responses take some 100 kB a text
+        return np.concatenate([language_odds(net, transcripts[a : a + CHUNK], answers[a : a + CHUNK]) for a in range(0, len(answers), CHUNK)])
 
     def logs(texts: list[str]) -> np.ndarray:
         forms = [B.normal(t or "") for t in texts]
@@ -266,7 +270,7 @@ def train(pairs: list[tuple[str, str, str]], net: B.Network, seed: int = 11) ->
     rng = np.random.default_rng(seed)
     pairs = [(t or "", q or "", body(o)) for t, q, o in pairs]
     pairs = [p for p in pairs if len(py_words(p[2])) >= 5]
-    found = B.segments(net, [t or a for t, _, a in pairs])
+    found = [f for a in range(0, len(pairs), CHUNK) for f in B.segments(net, [t or o for t, _, o in pairs[a : a + CHUNK]])]
     langs = [f[0][2] if f else "" for f in found]
     keep = language_odds(net, [t for t, _, _ in pairs], [a for _, _, a in pairs]) <= 0
     pairs, langs = [p for p, k in zip(pairs, keep) if k], [x for x, k in zip(langs, keep) if k]
