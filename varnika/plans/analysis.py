@@ -652,13 +652,13 @@ def a43_json_object(spark, sf):
 
 @query
 def j11_referenced(spark, sf):
-    """Audio paths of pairs that some record of the same speaker in training also names."""
-    r = records(spark, sf).where("audio_path is not null and trim(audio_path) <> ''")
-    live = r.where("split = 'train'").select("audio_path")
-    return r.where("split <> 'train'").join(live, "audio_path", "left_semi").select("id")
+    """Held-out records whose speaker also has training records."""
+    r = records(spark, sf).where("trim(speaker_id) <> ''")
+    live = r.where("split = 'train'").select("speaker_id")
+    return r.where("split <> 'train'").join(live, "speaker_id", "left_semi").select("id")
 
 
-S["j11_referenced"] = f"WITH {RECORDS}, a AS (SELECT * FROM r WHERE trim(audio_path) <> '') SELECT id FROM a WHERE split <> 'train' AND EXISTS (SELECT 1 FROM a b WHERE b.split = 'train' AND b.audio_path = a.audio_path)"
+S["j11_referenced"] = f"WITH {RECORDS}, a AS (SELECT * FROM r WHERE trim(speaker_id) <> '') SELECT id FROM a WHERE split <> 'train' AND EXISTS (SELECT 1 FROM a b WHERE b.split = 'train' AND b.speaker_id = a.speaker_id)"
 
 
 @query
