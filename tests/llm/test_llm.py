@@ -252,3 +252,15 @@ def test_spam_pages(spark):
     got = {r.doc_id for r in spam_pages.spam_pages(df).where("spam").collect()}
     assert got == {200, 201, 202, 203}
     assert spam_pages.spam_pages(df.limit(0)).count() == 0
+
+
+def test_mix_to_targets_dirty(spark):
+    docs = [(1, "एक दो तीन", "a", 9), (1, "एक दो तीन", "a", 9), (2, None, "a", 9), (3, "", "a", 9), (4, "one two", None, 9), (5, "one two three four", "b", 9), (6, "x " * 4000, "c", 9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, tokens int")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.4, None), ("gone", 0.1, 2), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
+    mixed, report = mixture.mix_to_targets(df, targets)
+    got = {r.source: r for r in report.collect()}
+    assert set(got) == {"a", "b", "gone"} and got["gone"].tokens == got["gone"].repeats == 0
+    assert {r.doc_id for r in mixed.collect()} <= {1, 5} and got["a"].repeats <= 3 and got["b"].repeats <= 1
+    mixed, report = mixture.mix_to_targets(df.limit(0), targets)
+    assert mixed.count() == 0 and all(r.tokens == 0 for r in report.collect())
