@@ -103,5 +103,34 @@ def p4_cut_share(spark, sf_dir: str) -> DataFrame:
     return got.groupBy("table_name", "model").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
 
 
+_INVISIBLE_SQL = r"\x{00AD}\x{180E}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{2060}-\x{2064}\x{FEFF}"
+_BLANK_SQL = rf"(?is)^[\s\p{{Z}}\p{{Pd}}.…·−{_INVISIBLE_SQL}]*(?:null[\s\p{{Z}}\p{{Pd}}.…·−{_INVISIBLE_SQL}]*)?$"
+
+
+def _tokens_sql() -> str:
+    c = r"lower(regexp_replace(text, '(?is)^(?:.*</think>|\s*<think>)?\s*(?:reply\s*:)?', ''))"
+    for pattern, by in ((r"\p{Nd}+(?:[.,:/]\p{Nd}+)*", "#"), (rf"(?:[.…]{{2,}}|…)\s*$|[{_INVISIBLE_SQL}]+", ""), (r"[।॥.?!…|\n]+", " ¶ "), (r"[;:—–]+", ","), (r"-+([^\p{L}-]|$)", r",\1")):
+        c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
+    return f"regexp_extract_all({c}, '[\\p{{L}}\\p{{M}}\\p{{N}}#]+|¶|,+|\\x{{FFFD}}')"
+
+
+_SHARE_SQL = "e0 / (n0 + 8.0::DOUBLE)"
+for _k in (1, 2, 3):
+    _SHARE_SQL = f"(e{_k} + {PRIOR}::DOUBLE * ({_SHARE_SQL})) / (n{_k} + {PRIOR}::DOUBLE)"
+_KEYS_SQL = {3: "w2 || ' ' || w1 || ' ' || w0", 2: "w1 || ' ' || w0", 1: "w0", 0: "substring(w0, greatest(length(w0) - 2, 1))"}
+_CUT_SQL = rf"""x AS (SELECT DISTINCT 'experiment_evon_results' AS table_name, result_key AS record_id, model, raw_output AS text FROM experiment_evon_results
+  UNION SELECT DISTINCT 'boli_reviews', id, json_extract_string(reply, '$.model'), reply_text FROM boli_reviews),
+y AS (SELECT *, text IS NOT NULL AND NOT regexp_matches(text, '{_BLANK_SQL}') AS ok, coalesce(regexp_matches(text, '(?:^|[^.…])[।.?!]["»”’'')\]\s]*$'), false) AS closed FROM x),
+t0 AS (SELECT *, CASE WHEN ok THEN {_tokens_sql()} ELSE [] END AS t FROM y),
+t1 AS (SELECT *, t[1:len(t) - coalesce(list_position(list_transform(list_reverse(t), lambda z: z <> '¶'), true) - 1, 0)] AS u FROM t0),
+t2 AS (SELECT table_name, record_id, model, closed, row_number() OVER () AS k, CASE WHEN length(regexp_replace(array_to_string(u, ''), '[¶,]', '', 'g')) >= {LEAST} THEN list_concat(['¶', '¶'], u) ELSE [] END AS t FROM t1),
+p AS (SELECT k, closed, i, len(t) AS n, t[i] AS w0, t[i - 1] AS w1, t[i - 2] AS w2, coalesce(t[i + 1] = '¶', true) AS is_end FROM (SELECT *, unnest(range(3, len(t) + 1)) AS i FROM t2 WHERE len(t) > 2)),
+c AS (SELECT * FROM p WHERE w0 <> '¶' AND (i < n OR closed) AND n > 3),
+""" + ",\n".join(f"g{k} AS (SELECT {e} AS g, count(*) AS n, count(*) FILTER (is_end) AS ends FROM c GROUP BY 1)" for k, e in _KEYS_SQL.items()) + ",\n" + "l AS (SELECT p.k, p.w0, p.closed, " + ", ".join(f"coalesce(g{k}.n, 0) - own AS n{k}, coalesce(g{k}.ends, 0) - own AS e{k}" for k in _KEYS_SQL) + " FROM (SELECT *, CASE WHEN closed AND n > 3 THEN 1 ELSE 0 END AS own FROM p WHERE i = n) p " + " ".join(f"LEFT JOIN g{k} ON g{k}.g = {e}" for k, e in _KEYS_SQL.items()) + rf"""),
+f AS (SELECT table_name, record_id, model, t2.k, {_SHARE_SQL} AS end_share, coalesce(w0 LIKE ',%' OR contains(w0, chr(65533)) OR ({_SHARE_SQL} < {TERMINAL} AND (NOT l.closed OR n1 >= {SEEN})), false) AS cut FROM t2 LEFT JOIN l ON t2.k = l.k)"""
+
 QUERIES = {"p4_found": p4_found, "p4_cut_share": p4_cut_share}
-SQL: dict[str, str] = {}
+SQL = {
+    "p4_found": f"WITH {_CUT_SQL} SELECT DISTINCT table_name, record_id FROM f WHERE cut",
+    "p4_cut_share": f"WITH {_CUT_SQL} SELECT table_name, model, count(*) AS texts, count(*) FILTER (cut) AS cut, round(avg(cut::INT), 6) AS share FROM f WHERE end_share IS NOT NULL GROUP BY ALL",
+}
