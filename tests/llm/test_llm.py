@@ -126,6 +126,23 @@ def test_grouped_splits(spark):
     assert grouped_splits.quotas(10, (0.8, 0.1, 0.1)) == [8, 1, 1]
 
 
+def test_leftover_components_keep_to_the_quotas():
+    def records(bundles):
+        got = grouped_splits.allocate(bundles)
+        assert all(sum(got[size, label, now]) == n for size, label, now, n in bundles)
+        return [sum(size * got[size, label, now][k] for size, label, now, _ in bundles) for k in range(3)]
+
+    assert records([(5000, "a", None, 1), (1, "b", None, 10_000)]) == [12_000, 1500, 1500]
+    assert records([(5000, "a", "test", 1), (1, "b", "test", 9990), (2, "b", None, 5)]) == [12_000, 1500, 1500]
+    assert records([(5000, "a", None, 1), (1, "b", None, 100)]) == [5000, 50, 50]
+    rng = random.Random(5)
+    for _ in range(200):
+        bundles = {(rng.randrange(1, 12), rng.choice("abc"), rng.choice([None, "train", "test"])): rng.randrange(1, 60) for _ in range(rng.randrange(1, 12))}
+        bundles = [(*k, n) for k, n in bundles.items()] + [(rng.choice([1, 200, 3000]), "d", None, 1), (1, "e", None, 20)]
+        total, large = sum(b[0] * b[3] for b in bundles), max(b[0] for b in bundles)
+        assert large > 100 or all(abs(x - q) <= 2 * large for x, q in zip(records(bundles), grouped_splits.quotas(total, grouped_splits.SHARES)))
+
+
 # ---- 6
 
 def test_consensus(spark):

@@ -134,12 +134,13 @@ def allocate(bundles: list[tuple[int, str, str | None, int]], shares: tuple[floa
         room, take = left[label, now], [0] * len(SPLITS)
         for k in range(len(SPLITS)):
             take[k] = min(max(0, min(room[k], whole[k])) // size, n - sum(take))
-        for _ in range(n - sum(take)):  # those that fit nowhere wholly (fewer than there are splits, unless quotas are used up)
-            k = max(range(len(SPLITS)), key=lambda k: (whole[k] - take[k] * size, -k))
-            if _ >= 2 * len(SPLITS):
-                take[k] += n - sum(take)
-                break
-            take[k] += 1
+        # those beyond the flow's room go, one after the other, where most of the whole's quota is left: all but the last few by division, down to the level that this leaves
+        over, free = (n - sum(take)) * size, [whole[k] - take[k] * size for k in range(len(SPLITS))]
+        level = max((sum(x) - over) // len(x) for x in (sorted(free)[-j:] for j in range(1, len(SPLITS) + 1)))
+        for k in range(len(SPLITS)):
+            take[k] += min(max(0, free[k] - level) // size, n - sum(take))
+        for _ in range(n - sum(take)):  # fewer than there are splits
+            take[max(range(len(SPLITS)), key=lambda k: (whole[k] - take[k] * size, -k))] += 1
         for k in range(len(SPLITS)):
             room[k] -= take[k] * size
             whole[k] -= take[k] * size
