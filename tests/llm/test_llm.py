@@ -197,6 +197,24 @@ def test_split_overlap_is_brute_force(spark):
     assert links.count() == 0
 
 
+def test_split_overlap_of_short_texts_is_brute_force(spark):
+    rng = random.Random(17)
+    rows = []
+    for i in range(40):
+        s = [rng.choice(WORDS) for _ in range(rng.choice([7, 8, 8, 9]))]
+        k, other = rng.randrange(len(s)), rng.choice(WORDS)
+        for j, t in enumerate([s, s[:k] + s[k + 1 :], s[:k] + [other] + s[k:], s[:k] + [other] + s[k + 1 :]]):
+            rows.append((f"r{i:02d}{j}", " ".join(t), None, "train" if (i + j) % 2 else "test", "s"))
+    rows += [("x1", "one two three four five six seven eight", None, "train", "s"), ("x2", "one two three five six seven eight", None, "test", "s")]
+    df = spark.createDataFrame(rows, "id string, anchor_text string, target_text string, split string, source string")
+    links, members = split_overlap.split_overlaps(df)
+    got = {tuple(r) for r in split_overlap._pairs(links, members).select("id_train", "id_eval").distinct().collect()}
+    words = {r[0]: py_words(r[1]) for r in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] == "test" and split_overlap.lcs(words[a[0]], words[b[0]]) * 8 >= 7 * max(len(words[a[0]]), len(words[b[0]]))}
+    assert got == want and ("x1", "x2") in want
+    assert sum({len(words[a]), len(words[b])} == {7, 8} for a, b in want) > 10
+
+
 # ---- 8
 
 def test_leaked_passages_is_brute_force(spark):

@@ -163,7 +163,8 @@ def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text",
     rows = written(_normalised(records, fields, id_col, split_col, source_col, train, evaluation))
     counts = _term_counts(rows)
     members = rows.where("side > 0")
-    lists = _lists(members.where("n >= 8").select("cls", "text", "side"), counts)
+    # a text of fewer than seven words can only match exactly; seven of them are seven eighths of eight
+    lists = _lists(members.where("n >= 7").select("cls", "text", "side"), counts)
     a = lists.where("sides != 2").select("key", F.col("cls").alias("cls_train"), F.col("packed").alias("p_a"))
     b = lists.where("sides != 1").select("key", F.col("cls").alias("cls_eval"), F.col("packed").alias("p_b"))
     n_a, n_b = (F.col(c).bitwiseAND(F.lit(LONGEST)) for c in ("p_a", "p_b"))
