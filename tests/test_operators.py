@@ -200,3 +200,15 @@ def test_stream(spark, tmp_path):
     E.run_once(E.follow_conversations(stream, idle=False), str(tmp_path / "o"), str(tmp_path / "k"))
     got = {r.turn: (r.turns, r.context, r.dropped) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {1: (1, 0, False), 2: (2, 1, False), 3: (3, 2, False), 4: (3, 0, True)}
+
+
+def test_similarity_of_sources_has_words_of_any_length(spark, tmp_path):
+    from varnika.plans import analysis
+
+    docs = [("the of distinctive", "a"), ("the", "a"), ("the of distinctive ordinary", "b"), ("the", "b"), ("the of\nordinary elsewhere", "c"), ("the elsewhere elsewhere", "c"), (None, "c")]
+    spark.createDataFrame([(i, t, "en", s) for i, (t, s) in enumerate(docs)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    idf = {r.item: (r.groups, r.idf) for r in analysis.Q["a37_idf"](spark, str(tmp_path)).collect()}
+    assert idf == {"the": (3, 0.0), "of": (3, 0.0), "distinctive": (2, 0.405465), "ordinary": (2, 0.405465), "elsewhere": (1, 1.098612)}
+    got = {(r.a, r.b): (r.shared, r.cosine, r.jaccard) for r in analysis.Q["a41_group_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (3, pytest.approx(0.707107), 0.75), ("b", "c"): (3, pytest.approx(0.128319, abs=2e-6), 0.6), ("a", "c"): (2, 0.0, 0.4)}
+    assert {r.grp: r.partner for r in analysis.Q["w10_partners"](spark, str(tmp_path)).where("position = 1").collect()} == {"a": "b", "b": "a", "c": "b"}

@@ -398,7 +398,7 @@ SELECT "true", seeds, round(mean, 6) AS mean, round(median, 6) AS median, round(
 def _table(spark, sf):
     d = documents(spark, sf).where("source is not null and variety is not null")
     w = d.select(F.col("source").alias("grp"), F.explode(F.array_distinct(F.split(F.regexp_replace("text", "[ \n]+", " "), " "))).alias("item"))
-    return w.where("item <> '' and length(item) <= 4").groupBy("grp", "item").agg(F.count("*").cast("double").alias("value"))
+    return w.where("item <> ''").groupBy("grp", "item").agg(F.count("*").cast("double").alias("value"))
 
 
 _TABLE = f"""{DOCUMENTS}, g AS (SELECT grp, item, count(*)::DOUBLE AS value FROM (SELECT source AS grp, unnest(list_distinct(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '))) AS item FROM d WHERE source IS NOT NULL AND variety IS NOT NULL) WHERE item <> '' AND length(item) <= 4 GROUP BY ALL),
@@ -407,7 +407,7 @@ i AS (SELECT item, count(*) AS groups, ln((SELECT count(DISTINCT grp) FROM g) /
 
 @query
 def a37_idf(spark, sf):
-    """Inverse group frequency of short words over sources."""
+    """Inverse group frequency of words over sources."""
     return similarity.idf(_table(spark, sf)).withColumn("idf", R6("idf"))
 
 
