@@ -289,6 +289,24 @@ def test_spam_pages(spark):
     assert spam_pages.spam_pages(df.limit(0)).count() == 0
 
 
+def test_spam_pages_script_is_that_of_the_whole_text(spark):
+    rng = random.Random(11)
+    deva, glue = "क ख ग घ च छ ज झ ट ठ".split(), "the of and with was for from that they have".split()
+    page = lambda fill, other, n: " ".join(" ".join(rng.choice(fill) if rng.random() < 0.6 else rng.choice(other) for _ in range(10)) + "." for _ in range(n))
+    header = lambda: " | ".join(rng.choice(WORDS) + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) + "\n"
+    links = "\n".join(f"http://a{i}.test/page" for i in range(30)) + "\n"
+    native = [f"{x}{y}" for x in "पफबभम" for y in "यरलवश"]
+    rows = [(i, (header() if i % 2 else links if i % 4 else "") + page(deva, native, 90), "hi") for i in range(160)]
+    rows += [(1000 + i, page(glue, WORDS, 8), "hi") for i in range(14)]
+    df = spark.createDataFrame(rows + [(2000, " ".join(rng.choice(WORDS[:20]) + "x" for _ in range(80)), "hi")], "doc_id long, text string, lang string")
+    common = spam_pages._counted(df)
+    assert set(glue) <= common["hi/latin"] and not set(deva) & common["hi/latin"] and set(deva) <= common["hi/other"]
+    got = {r.doc_id: r for r in spam_pages.spam_pages(df).collect()}
+    assert all(got[1000 + i].grp == "hi/latin" and got[1000 + i].sent > 0.5 and not got[1000 + i].spam for i in range(14))
+    assert got[2000].spam and not any(got[i].spam for i in range(160))
+    assert spam_pages._group("hi", ["नमस्ते"], links) == "hi/other" and spam_pages._group("hi", ["namaste"], "") == "hi/latin"
+
+
 def test_mix_to_targets_dirty(spark):
     docs = [(1, "एक दो तीन", "a", 9), (1, "एक दो तीन", "a", 9), (2, None, "a", 9), (3, "", "a", 9), (4, "one two", None, 9), (5, "one two three four", "b", 9), (6, "x " * 4000, "c", 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, tokens int")

@@ -45,16 +45,22 @@ _WORD = re.compile(r"[^\W\d_][\wऀ-ॣ]*")
 #: What no link or tag lacks; most pages have none of it.
 _HINT = re.compile(r"[#@+/<]|www\.|\.\w|:\S")
 _MARK = re.compile(r"[^\w\sऀ-ॿ]")
-_LATIN = re.compile("[A-Za-z]")
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 _HIDDEN = re.compile(f"[{INVISIBLE}]+")
 _NAMES = {"hi": "hin hindi", "bho": "bhojpuri", "mai": "maithili", "awa": "awadhi", "mwr": "marwari", "en": "eng english"}
 _CODES = {w: k for k, v in _NAMES.items() for w in [k, *v.split()]}
 
 
-def _group(lang: str | None, text: str) -> str:
+def _latin(words: list[str], text: str) -> bool:
+    """Whether most of the characters of a page's words are Latin letters; of its whole text if it has no words outside links and tags."""
+    s = "".join(words) or text
+    return len(s.encode("ascii", "ignore").translate(None, _NO_LETTERS)) * 2 > len(s)
+
+
+def _group(lang: str | None, words: list[str], text: str) -> str:
     label = re.split(r"[-_ ]", (lang or "").strip().lower())[0]
     code = _CODES.get(label, label if label.isalpha() and label not in ("und", "unknown", "xx", "null") else "")
-    return f"{code}/{'latin' if len(_LATIN.findall(text, 0, 400)) * 2 > min(400, len(text)) else 'other'}" if code else ""
+    return f"{code}/{'latin' if _latin(words, text) else 'other'}" if code else ""
 
 
 def _unlinked(text: str) -> tuple[str, int]:
@@ -110,8 +116,9 @@ def _count(pages: DataFrame, groups: dict[str, frozenset[str]] | None, share: fl
 
         for x in batches:
             for lang, text in zip(x["lang"], x["text"]):
-                words = set(_WORD.findall(_unlinked(text)[0]))
-                g = _group(lang, text) if shared.value is None else _best(Counter(words), of, "")[0]
+                found = _WORD.findall(_unlinked(text)[0])
+                words = set(found)
+                g = _group(lang, found, text) if shared.value is None else _best(Counter(words), of, "")[0]
                 if g and words:
                     by[g].update(words)
                     by[g][""] += 1
@@ -142,7 +149,7 @@ def features(pages: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
                 words = [w for _, _, p in parts for w in p]
                 n = len(words)
                 count = Counter(words)
-                best, covered = _best(count, of, _group(lang, text))
+                best, covered = _best(count, of, _group(lang, words, text))
                 total = linked + sum(s for s, _, _ in parts)
                 sent = sum(s for s, link, p in parts if not link and len(p) >= 4 and sum(w in of for w in p) >= SENTENCE * len(p))
                 entropy = -sum(k / n * math.log(k / n) for k in count.values()) / math.log(n + 1) if n else 0.0
