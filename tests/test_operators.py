@@ -212,3 +212,20 @@ def test_similarity_of_sources_has_words_of_any_length(spark, tmp_path):
     got = {(r.a, r.b): (r.shared, r.cosine, r.jaccard) for r in analysis.Q["a41_group_similarity"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"): (3, pytest.approx(0.707107), 0.75), ("b", "c"): (3, pytest.approx(0.128319, abs=2e-6), 0.6), ("a", "c"): (2, 0.0, 0.4)}
     assert {r.grp: r.partner for r in analysis.Q["w10_partners"](spark, str(tmp_path)).where("position = 1").collect()} == {"a": "b", "b": "a", "c": "b"}
+
+
+def test_every_fold_and_every_seed(spark, tmp_path):
+    from varnika.operators import detector
+    from varnika.plans import learning
+
+    words = {"hi": ["मैं", "है", "नहीं", "घर"], "awa": ["हम", "अहै", "नाहीं", "घर"]}
+    rng = random.Random(8)
+    rows = [(i, lang, " ".join(rng.choice(words[lang]) for _ in range(8))) for i, lang in enumerate(["hi", "awa"] * 12)]
+    df = spark.createDataFrame(rows, "sample_id int, lang string, text string")
+    df.write.parquet(str(tmp_path / "variety_samples.parquet"))
+    got = {r.true: (r.n, r.groups) for r in learning.Q["m8_leave_one_group_out"](spark, str(tmp_path)).collect()}
+    assert got == {"hi": (12, 3), "awa": (12, 3)}
+    prepared = detector.prepared(df.withColumn("grp", F.col("sample_id") % 3).withColumn("sample_id", F.col("sample_id").cast("string")), "text", "lang").cache()
+    p = detector.repeated_seeds(prepared, "label", "grp", "sample_id", (1, 2), "word", 5).select("seed", "sample_id").collect()
+    tests = [{r.sample_id for r in p if r.seed == s} for s in (1, 2)]
+    assert all(tests) and tests[0] != tests[1] and len(p) == len(set(p)) < 48

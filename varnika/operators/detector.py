@@ -19,6 +19,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from varnika.functions.text import devanagari_words
+from varnika.operators import splits
 
 WORDS = "concat(ws, transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (x, i) -> concat(x, ' ', ws[i + 1])))"
 CHARS = "flatten(transform(array(3, 4), n -> if(length(text) < n, array(), transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))"
@@ -107,6 +108,16 @@ def leave_one_group_out(rows: DataFrame, label: str, grp: str, folds: list[tuple
     return reduce(DataFrame.unionByName, out)
 
 
+def repeated_seeds(rows: DataFrame, label: str, grp: str, key: str, seeds: tuple[int, ...], mode: str = "combined", steps: int = 100) -> DataFrame:
+    """For each seed: predictions, with seed, of the test rows of its own class split by a model trained on its train rows."""
+    out = []
+    for seed in seeds:
+        split = splits.class_split(rows, grp, label, key, seed)
+        model = fit(split.where("split = 'train'"), mode, steps=steps)
+        out.append(predictions(model, split.where("split = 'test'")).withColumn("seed", F.lit(seed)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def silhouettes(vectors: DataFrame, features: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), seed: int = 42) -> DataFrame:
     """Mean silhouette of k-means for each k."""
     found = []

@@ -11,6 +11,8 @@ from varnika.session import checkpoint_dir, table
 from varnika.streaming import events as E
 
 Q, S = {}, {}
+#: Seeds of the repeated splits.
+FIVE, FIFTEEN = (1, 7, 42, 123, 2024), tuple(range(1, 16))
 
 
 def query(f):
@@ -41,13 +43,24 @@ def m5_variety_classifier(spark, sf):
 
 @query
 def m8_leave_one_group_out(spark, sf):
-    """Each label's first groups predicted by models that never saw them."""
+    """Each label's groups predicted by models that never saw them."""
     v = table(spark, sf, "variety_samples").withColumn("grp", (F.col("sample_id") % 3).cast("string"))
     rows = detector.prepared(v, "text", "lang").cache()
-    p = detector.leave_one_group_out(rows, "label", "grp", [("bho", "0"), ("mai", "1")], steps=10)
+    folds = [tuple(r) for r in rows.where("grp is not null").select("label", "grp").distinct().orderBy("label", "grp").collect()]
+    p = detector.leave_one_group_out(rows, "label", "grp", folds)
     return evaluation.balanced_recall(p)
 
 
+@query
+def m9_repeated_seeds(spark, sf):
+    """Recall over five and over fifteen seeds, each with its own split and model."""
+    v = table(spark, sf, "variety_samples").withColumn("grp", (F.col("sample_id") % 3).cast("string")).withColumn("sample_id", F.col("sample_id").cast("string"))
+    rows = detector.prepared(v, "text", "lang").cache()
+    p = detector.repeated_seeds(rows, "label", "grp", "sample_id", tuple(sorted({*FIVE, *FIFTEEN}))).select("true", "pred", "seed").cache()
+    five, fifteen = (evaluation.seed_stability(p.where(F.col("seed").isin(*s))) for s in (FIVE, FIFTEEN))
+    return five.unionByName(fifteen)
+
+
 @query
 def a45_silhouettes(spark, sf):
     """Silhouette of k-means over the embeddings for two to eight clusters."""
