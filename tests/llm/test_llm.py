@@ -23,7 +23,7 @@ TURN = "id string, created timestamp, conversation_id string, turn_id string, re
 
 def judged(spark, rows):
     df = spark.createDataFrame([(str(i), None, c, t, x, e, y, 1) for i, (c, t, x, e, y) in enumerate(rows)], TURN)
-    return {r.conversation_id: (r.turns, r.broken) for r in conversations.judge(df).collect()}, df
+    return {r.conversation_id: (r.messages, r.broken) for r in conversations.judge(df).collect()}, df
 
 
 def test_conversations(spark):
@@ -42,6 +42,51 @@ def test_conversations(spark):
     assert judged(spark, [])[0] == {}
 
 
+def test_conversations_are_assembled_from_overlapping_fragments(spark):
+    hour = lambda k: f"2025-03-01 {k:02d}:10:00"
+    rows = []
+
+    def put(conv, k, numbers, word="w"):
+        rows.extend((f"{conv}{k}{n}{word}", hour(k), conv, f"t{n}", f"{word}{n}", None, f"r{n}", 1) for n in numbers)
+
+    for c in ("overlap", "contained", "abut", "late", "branch", "dissent", "hole", "hidden"):
+        put(c, 1, (1, 2, 3, 4))
+    put("overlap", 2, (3, 4, 5, 6)), put("overlap", 3, (5, 6, 7))
+    put("contained", 2, (2, 3)), put("contained", 3, (1, 2, 3, 4)), put("contained", 4, (1,))
+    put("abut", 2, (5, 6))
+    put("late", 2, (6, 7)), put("late", 3, (5,))
+    put("branch", 2, (4, 5)), put("branch", 3, (5,), "other")
+    put("dissent", 2, (3, 4, 5), "other")
+    put("hole", 2, (6, 7))
+    put("hidden", 2, (2,), "other")
+    df = spark.createDataFrame(rows, TURN.replace("created timestamp", "created string")).withColumn("created", F.col("created").cast("timestamp"))
+    got = {r.conversation_id: (r.reads, r.shared, r.paths, r.broken) for r in conversations.judge(df).collect()}
+    assert got == {
+        "overlap": (3, 4, 1, None), "contained": (1, 0, 1, None), "abut": (2, 0, 1, None), "late": (3, 0, 1, None),
+        "branch": (3, 1, 2, "conflict"), "dissent": (2, 0, 2, "conflict"), "hole": (2, 0, 2, "gap"), "hidden": (2, 0, 2, "conflict"),
+    }
+    # without their fragments the rows are no reads any more
+    assert {r.reads for r in conversations.judge(df.withColumn("created", F.lit(None).cast("timestamp"))).where("broken is null").collect()} == {1}
+
+
+def test_assembly_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK", 4)
+    rng = random.Random(21)
+    rows, want = [], {}
+    for c in range(300):
+        n, own = rng.randrange(1, 12), []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(1, n + 1)
+            own += [(k, rng.randrange(5), "x" if rng.random() < 0.03 else "") for k in range(a, min(n, a + rng.randrange(1, 8)) + 1)]
+        if rng.random() < 0.7:
+            own += [(k, 9, "") for k in range(1, n + 1)]
+        rows += [(f"{c}-{i}", f"2025-03-01 {h:02d}:10:00", f"c{c}", f"t{k}", f"a{k}{v}", None, "r", 1) for i, (k, h, v) in enumerate(own)]
+        held = {k for k, _, _ in own}
+        want[f"c{c}"] = held == set(range(1, max(held) + 1)) and len({(k, v) for k, _, v in own}) == len(held)
+    df = spark.createDataFrame(rows, TURN.replace("created timestamp", "created string")).withColumn("created", F.col("created").cast("timestamp"))
+    assert {r.conversation_id: r.broken is None for r in conversations.judge(df).collect()} == want and 50 < sum(want.values()) < 290
+
+
 # ---- 2
 
 @pytest.fixture(scope="module")
