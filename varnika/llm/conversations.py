@@ -111,7 +111,8 @@ def assembled(nodes: DataFrame) -> DataFrame:
     """Per conversation: reads (without contained ones, each variant of a fork counts), edges, shared (messages in which the reads of
     its edges overlap), paths (reads less edges)."""
     every, forks = reads(nodes)
-    kept = uncontained(every)
+    every = written(every)  # hashes and numbers only; read five times
+    kept = written(uncontained(every))
     parts = kept.where("no = a").select("conversation_id", F.lit(1).cast("bigint").alias("reads"), F.lit(0).cast("bigint").alias("edges"), F.lit(0).cast("bigint").alias("shared"))
     parts = parts.union(forks.select("conversation_id", "variants", F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
     parts = parts.union(overlaps(kept, forks).select("conversation_id", F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.col("k").cast("bigint")))
