@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,22 +82,48 @@ def test_table_changes(spark):
     assert sorted(map(tuple, ingest.delete_by_key(old, new, "k").collect())) == [(1, "a")]
 
 
+def chrf(*pairs):
+    return [round(float(x), 6) for x in metrics.batch_chrf(pd.Series([a for a, _ in pairs]), pd.Series([b for _, b in pairs]))]
+
+
 def test_chrf():
-    assert metrics.py_chrf("abc", "abc") == pytest.approx(100)
-    assert metrics.py_chrf("abc", "xyz") == 0
-    assert metrics.py_chrf("abc def", "abcdef") == pytest.approx(100)
-    assert metrics.py_chrf("é", "é") == pytest.approx(100)
-    assert metrics.py_chrf("", "") == 100 and metrics.py_chrf("", "a") == 0
-    assert metrics.py_chrf(None, "a") is None
+    assert chrf(("abc", "abc"), ("abc", "xyz"), ("abc def", "abcdef"), ("e\u0301", "\u00e9"), ("", ""), (" ", ""), ("", "a")) == [100, 0, 100, 100, 100, 100, 0]
+    assert math.isnan(chrf((None, "a"))[0]) and math.isnan(chrf(("a", None))[0]) and chrf() == []
+    # orders 1 to 3 of "abcd" in "abce": 3 of 4, 2 of 3, 1 of 2, none of 1
+    assert chrf(("abcd", "abce"), ("abcd", "abce"))[0] == pytest.approx(100 * (3 / 4 + 2 / 3 + 1 / 2 + 0) / 4)
+    assert chrf(("ab", "abc"))[0] == pytest.approx(100 * 5 * 1 * ((2 / 3 + 1 / 2) / 2) / (4 * 1 + (2 / 3 + 1 / 2) / 2))
+
+
+def test_chrf_does_not_mix_pairs():
+    rng = random.Random(1)
+    pairs = [("".join(rng.choice("ab \u0915") for _ in range(rng.randrange(12))), "".join(rng.choice("ab\u0915") for _ in range(rng.randrange(12)))) for _ in range(60)]
+    assert chrf(*pairs) == [chrf(p)[0] for p in pairs]
+
+
+def test_word_distance():
+    def plain(a, b):
+        table = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1, j + 1] = min(table[i, j + 1] + 1, table[i + 1, j] + 1, table[i, j] + (a[i] != b[j]))
+        return table[len(a), len(b)]
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randrange(9)) for _ in "ab")
+        assert metrics.py_word_distance(a, b) == plain(a, b)
 
 
 def test_run_metrics(spark):
     refs = spark.createDataFrame([("1", "अ", "ब"), ("2", "क", "क")], "id string, anchor_text string, target_text string")
-    pred = spark.createDataFrame([("0", "1", "अ"), ("0", "2", "क"), ("9", "1", "ब"), ("9", "7", "x")], "condition string, id string, prediction string")
+    pred = spark.createDataFrame([("0", "1", "अ"), ("0", "2", "क"), ("9", "1", "ब")], "condition string, id string, prediction string")
     got = {r.condition: r for r in metrics.run_metrics(pred, refs).collect()}
     assert got["0"].copy_rate == 1 and got["0"].exact_match == 0.5 and got["0"].complete
-    assert got["9"].n == 1 and got["9"].exact_match == 1 and not got["9"].complete
-    assert got["identity"].copy_rate == 1
+    assert got["9"].n == 1 and got["9"].exact_match == 1 and got["9"].chrf == 100 and not got["9"].complete
+    assert got["identity"].copy_rate == 1 and got["identity"].chrf == got["0"].chrf
+    lost = spark.createDataFrame([("9", "7", "x")], pred.schema)
+    with pytest.raises(Exception, match="no reference for 7"):
+        metrics.run_metrics(pred.union(lost), refs).collect()
 
 
 def test_ratings_and_wer(spark):
@@ -103,6 +131,9 @@ def test_ratings_and_wer(spark):
     key = spark.createDataFrame([("i", "0", "10")], "item_id string, system_1 string, system_2 string")
     got = {x.system: x for x in metrics.win_shares(metrics.rating_outcomes(r, key)).collect()}
     assert (got["0"].wins, got["0"].ties, got["0"].win_share, got["10"].win_share) == (1, 1, 1.0, 0.0)
+    with pytest.raises(Exception, match="no choice: 3"):
+        metrics.rating_outcomes(r.union(spark.createDataFrame([("i", "q", "3")], r.schema)), key).collect()
+    assert {(x.column, x.value): x.n for x in metrics.value_counts(key, "system_1", "system_2").collect()} == {("system_1", "0"): 1, ("system_2", "10"): 1}
     df = spark.createDataFrame([("a b c", "a x c d"), ("a", "")], "r string, h string")
     w = metrics.word_error_rate(df, "r", "h").first()
     assert (w["rows"], w.edits, w.words) == (1, 2, 3)

@@ -189,6 +189,15 @@ def e14_marker_scores(spark, sf):
     return markers.marker_scores(reviews(spark, sf).where("recognized_text is not null"), "id", "recognized_text", m, 2.0, 0.5, 0.15).groupBy("label").agg(F.count("*").alias("n"))
 
 
+S["e14_marker_scores"] = f"""WITH {_COUNTS}, {_ratio_sql('WHERE ref_n = 0 OR raw > 20', 2**31 - 1)}, {REVIEWS}, u AS (SELECT word, count(*) AS users FROM c WHERE variety <> 'bho' AND n >= 3 GROUP BY 1),
+k AS (SELECT variety, word, 1.0::DOUBLE / users AS weight FROM m JOIN u USING (word) WHERE 1.0 / users >= 0.5),
+t AS (SELECT id, recognized_text FROM b WHERE recognized_text IS NOT NULL), w AS (SELECT DISTINCT id, word FROM (SELECT id, unnest({WORDS_SQL.format('recognized_text')}) AS word FROM t)),
+s AS (SELECT id, variety, least(1.0, sum(weight) / 2.0) AS score FROM w JOIN k USING (word) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, variety DESC) AS place FROM s),
+p AS (SELECT id, max(variety) FILTER (place = 1) AS v, max(score) FILTER (place = 1) AS first, coalesce(max(score) FILTER (place = 2), 0) AS second FROM o GROUP BY 1)
+SELECT CASE WHEN first >= 0.5 AND first - second >= 0.15 THEN v ELSE 'hindi_unknown' END AS label, count(*) AS n FROM (SELECT DISTINCT id FROM t) LEFT JOIN p USING (id) GROUP BY 1"""
+
+
 @query
 def e13_substring_labels(spark, sf):
     """Turns labelled by a short list of marker strings."""
@@ -220,16 +229,35 @@ UNION ALL (SELECT 'mwr not mai', word FROM m WHERE variety = 'mwr' EXCEPT SELECT
 # ---- scores and ratings
 
 def _predictions(spark, sf):
-    """For each pair the targets of the pairs that share its anchor, as predictions of conditions by variety."""
+    """For each pair and variety the first target in order that shares its anchor, as the prediction of a condition."""
     r = records(spark, sf).where("target_text is not null")
-    other = r.select(F.col("id").alias("pid"), F.col("variety").alias("condition"), "anchor_text", F.col("target_text").alias("prediction"))
-    return r.select("id", "anchor_text").join(other, "anchor_text").where("condition is not null").select("condition", "id", "prediction")
+    other = r.where("variety is not null").groupBy(F.col("variety").alias("condition"), "anchor_text").agg(F.min("target_text").alias("prediction"))
+    return r.select("id", "anchor_text").join(other, "anchor_text").select("condition", "id", "prediction")
+
+
+_PREDICTIONS = f"""{RECORDS}, f AS (SELECT * FROM r WHERE target_text IS NOT NULL), o AS (SELECT variety AS condition, anchor_text, min(target_text) AS prediction FROM f WHERE variety IS NOT NULL GROUP BY ALL),
+p AS (SELECT condition, prediction, anchor_text, target_text FROM f JOIN o USING (anchor_text))"""
+_SAME = lambda a, b: f"nfc_normalize({_st(a)}) = nfc_normalize({_st(b)})"
 
 
 @query
 def a6_run_metrics(spark, sf):
     """n-gram F-score, exact and copy rates per condition and for the copied anchor."""
-    return metrics.run_metrics(_predictions(spark, sf), records(spark, sf).where("target_text is not null"))
+    m = metrics.run_metrics(_predictions(spark, sf), records(spark, sf).where("target_text is not null"))
+    return m.select("condition", "n", "complete", *[R6(c).alias(c) for c in ("chrf", "exact_match", "copy_rate")])
+
+
+S["a6_run_metrics"] = rf"""WITH {_PREDICTIONS}, e AS (SELECT * FROM p UNION ALL SELECT 'identity', anchor_text, anchor_text, target_text FROM f),
+x AS (SELECT *, row_number() OVER () AS k, regexp_replace(nfc_normalize(prediction), '[\s\p{{Z}}]+', '', 'g') AS a, regexp_replace(nfc_normalize(target_text), '[\s\p{{Z}}]+', '', 'g') AS b
+  FROM (SELECT prediction, target_text FROM e WHERE prediction IS NOT NULL GROUP BY ALL)),
+g AS (SELECT k, n, substring(a, i, n) AS gram, 1 AS x, 0 AS y FROM (SELECT k, a, n, unnest(range(1, length(a) - n + 2)) AS i FROM x, range(1, 7) z(n))
+  UNION ALL SELECT k, n, substring(b, i, n), 0, 1 FROM (SELECT k, b, n, unnest(range(1, length(b) - n + 2)) AS i FROM x, range(1, 7) z(n))),
+c AS (SELECT k, n, least(sum(x), sum(y)) AS same, sum(x) AS x, sum(y) AS y FROM g GROUP BY k, n, gram),
+q AS (SELECT k, n, sum(same) / sum(x)::DOUBLE AS p, sum(same) / sum(y)::DOUBLE AS r FROM c GROUP BY ALL HAVING sum(x) > 0 AND sum(y) > 0),
+m AS (SELECT k, avg(p) AS p, avg(r) AS r FROM q GROUP BY 1),
+v AS (SELECT prediction, target_text, CASE WHEN m.k IS NULL THEN CASE WHEN {_SAME('prediction', 'target_text')} THEN 100 ELSE 0 END WHEN p + r = 0 THEN 0 ELSE 100 * 5 * p * r / (4 * p + r) END AS chrf FROM x LEFT JOIN m USING (k))
+SELECT condition, count(*) AS n, count(*) = (SELECT count(*) FROM f) AS complete, round(avg(chrf), 6) AS chrf, round(avg(({_SAME('prediction', 'target_text')})::INT), 6) AS exact_match, round(avg(({_SAME('prediction', 'anchor_text')})::INT), 6) AS copy_rate
+FROM e LEFT JOIN v USING (prediction, target_text) GROUP BY 1"""
 
 
 @query
@@ -240,8 +268,7 @@ def a6_exact_and_copy(spark, sf):
     return p.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(metrics.same_text("prediction", "target_text")).alias("exact"), F.count_if(metrics.same_text("prediction", "anchor_text")).alias("copied"))
 
 
-S["a6_exact_and_copy"] = f"""WITH {RECORDS}, f AS (SELECT * FROM r WHERE target_text IS NOT NULL), p AS (SELECT o.variety AS condition, a.anchor_text, a.target_text, o.target_text AS prediction FROM f a JOIN f o USING (anchor_text) WHERE o.variety IS NOT NULL)
-SELECT condition, count(*) AS n, count(*) FILTER (nfc_normalize({_st('prediction')}) = nfc_normalize({_st('target_text')})) AS exact, count(*) FILTER (nfc_normalize({_st('prediction')}) = nfc_normalize({_st('anchor_text')})) AS copied FROM p GROUP BY 1"""
+S["a6_exact_and_copy"] = f"WITH {_PREDICTIONS} SELECT condition, count(*) AS n, count(*) FILTER ({_SAME('prediction', 'target_text')}) AS exact, count(*) FILTER ({_SAME('prediction', 'anchor_text')}) AS copied FROM p GROUP BY 1"
 
 
 _BARE = "regexp_replace(lower(choice), '[\\s\\p{Z}_\\-]+', '', 'g')"
@@ -282,6 +309,22 @@ def a42_word_error_rate(spark, sf):
     return metrics.word_error_rate(table(spark, sf, "rating_key"), "option_1", "option_2", "system_1").withColumn("wer", R6("wer"))
 
 
+# words of a pair as one character each, so that the edit distance of characters is that of words
+_CODED = "array_to_string(list_transform({}, lambda w: chr(33 + list_position(d, w)::INT)), '')"
+S["a42_word_error_rate"] = f"""WITH k AS (SELECT system_1, list_filter(regexp_split_to_array({_st('option_1')}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array({_st('option_2')}, '[\\s\\p{{Z}}]+'), lambda w: w <> '') AS b FROM rating_key WHERE trim(option_1) <> '' AND trim(option_2) <> ''),
+x AS (SELECT *, list_distinct(list_concat(a, b)) AS d FROM k)
+SELECT system_1, count(*) AS rows, sum(levenshtein({_CODED.format('a')}, {_CODED.format('b')})) AS edits, sum(len(a)) AS words, round(sum(levenshtein({_CODED.format('a')}, {_CODED.format('b')})) / sum(len(a)), 6) AS wer FROM x GROUP BY 1""".replace("\\\\", "\\")
+
+
+@query
+def a42_value_counts(spark, sf):
+    """How often each system stands on each side of the items."""
+    return metrics.value_counts(table(spark, sf, "rating_key"), "system_1", "system_2")
+
+
+S["a42_value_counts"] = """SELECT 'system_1' AS "column", system_1 AS value, count(*) AS n FROM rating_key GROUP BY ALL UNION ALL SELECT 'system_2', system_2, count(*) FROM rating_key GROUP BY ALL"""
+
+
 # ---- evaluation
 
 @query
@@ -401,7 +444,7 @@ def _table(spark, sf):
     return w.where("item <> ''").groupBy("grp", "item").agg(F.count("*").cast("double").alias("value"))
 
 
-_TABLE = f"""{DOCUMENTS}, g AS (SELECT grp, item, count(*)::DOUBLE AS value FROM (SELECT source AS grp, unnest(list_distinct(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '))) AS item FROM d WHERE source IS NOT NULL AND variety IS NOT NULL) WHERE item <> '' AND length(item) <= 4 GROUP BY ALL),
+_TABLE = f"""{DOCUMENTS}, g AS (SELECT grp, item, count(*)::DOUBLE AS value FROM (SELECT source AS grp, unnest(list_distinct(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '))) AS item FROM d WHERE source IS NOT NULL AND variety IS NOT NULL) WHERE item <> '' GROUP BY ALL),
 i AS (SELECT item, count(*) AS groups, ln((SELECT count(DISTINCT grp) FROM g) / count(*)) AS idf FROM g GROUP BY 1)"""
 
 
