@@ -1,41 +1,53 @@
 """A variety classifier on word and character n-grams: features, balanced logistic regression, calibration, leave-one-group-out.
 
-Everything stays in Spark ML pipelines; the smoothed inverse document frequency ln((1 + n) / (1 + df)) + 1 differs from Spark's own by
-the 1, which is added by scaling with the vocabulary's own weights.
+Everything stays in Spark ML; the smoothed inverse document frequency ln((1 + n) / (1 + df)) + 1 is Spark's own plus 1, by which the
+counts are scaled. Folds and seeds are independent models: a few are trained at a time, and each one's predictions are written before
+the next, so neither plans nor models pile up on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+import pandas as pd
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 
 from varnika.functions.text import devanagari_words
 from varnika.operators import splits
+from varnika.session import written
 
+#: Rows of a training task at least: small tables train in few tasks, as every step of the optimiser is a job.
+TASK_ROWS = 5_000
+#: Models trained at a time.
+AT_ONCE = 4
 WORDS = "concat(ws, transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (x, i) -> concat(x, ' ', ws[i + 1])))"
 CHARS = "flatten(transform(array(3, 4), n -> if(length(text) < n, array(), transform(sequence(1, greatest(length(text) - n + 1, 1)), i -> substring(text, i, n)))))"
 
 
-def feature_stages(mode: str = "combined", least: int = 2, char_features: int = 30_000) -> list:
-    """Stages from a column text (and ws, its words) to features. mode: word (1- and 2-grams), char (3- and 4-grams) or combined."""
+def feature_stages(train: DataFrame, mode: str = "combined", least: int = 2, char_features: int = 30_000) -> list[Transformer]:
+    """Fitted stages from a column text (and ws, its words) to features. mode: word (1- and 2-grams), char (3- and 4-grams) or combined.
+
+    An n-gram needs so many rows of the training table; each part of the features has length 1.
+    """
     out, parts = [], []
     for name, grams, size in (("word", WORDS, 1 << 18), ("char", CHARS, char_features)):
         if mode in (name, "combined"):
-            out.append(SQLTransformer(statement=f"SELECT *, {grams} AS {name}_grams FROM __THIS__"))
-            out.append(CountVectorizer(inputCol=f"{name}_grams", outputCol=f"{name}_tf", minDF=float(least), vocabSize=size))
-            out.append(IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf"))
-            # tf * (idf + 1) = tf * idf + tf, then to length 1
-            out.append(VectorAssembler(inputCols=[f"{name}_idf", f"{name}_tf"], outputCol=f"{name}_both"))
-            out.append(Normalizer(inputCol=f"{name}_both", outputCol=f"{name}_unit", p=2.0))
+            cut = SQLTransformer(statement=f"SELECT *, {grams} AS {name}_grams FROM __THIS__")
+            rows = cut.transform(train)
+            count = CountVectorizer(inputCol=f"{name}_grams", outputCol=f"{name}_tf", minDF=float(least), vocabSize=size).fit(rows)
+            idf = IDF(inputCol=f"{name}_tf", outputCol=f"{name}_idf").fit(count.transform(rows)).idf.toArray()
+            out += [cut, count, ElementwiseProduct(inputCol=f"{name}_tf", outputCol=f"{name}_scaled", scalingVec=Vectors.dense(idf + 1)), Normalizer(inputCol=f"{name}_scaled", outputCol=f"{name}_unit", p=2.0)]
             parts.append(f"{name}_unit")
     return [*out, VectorAssembler(inputCols=parts, outputCol="features")]
 
@@ -50,10 +62,12 @@ def prepared(df: DataFrame, text: str, label: str) -> DataFrame:
 
 def fit(train: DataFrame, mode: str = "combined", c: float = 1.0, steps: int = 100) -> PipelineModel:
     """Multinomial logistic regression with balanced weights; the ridge is 1 / (c times the sum of weights)."""
-    total = train.agg(F.sum("weight")).first()[0] or 1.0
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep")
+    total, n = train.agg(F.coalesce(F.sum("weight"), F.lit(1.0)), F.count("*")).first()
+    train = train.coalesce(max(1, n // TASK_ROWS))
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
+    stages = [index, *feature_stages(train, mode)]
     model = LogisticRegression(labelCol="y", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / (c * total), maxIter=steps)
-    return Pipeline(stages=[index, *feature_stages(mode), model]).fit(train)
+    return PipelineModel([*stages, model.fit(PipelineModel(stages).transform(train).select("y", "weight", "features"))])
 
 
 def predictions(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -91,31 +105,39 @@ def calibrated(validation: DataFrame, test: DataFrame, labels: list[str]) -> Dat
         for v in probs:
             q = np.array([np.interp(x, *shared.value[i]) for i, x in enumerate(v)])
             out.append((q / q.sum() if q.sum() > 0 else np.asarray(v)).tolist())
-        return __import__("pandas").Series(out)
+        return pd.Series(out)
 
     names = F.array(*[F.lit(x) for x in labels])
     out = test.withColumn("probs", apply("probs"))
     return out.withColumn("p", F.array_max("probs")).withColumn("pred", F.element_at(names, F.array_position("probs", F.col("p")).cast("int")))
 
 
-def leave_one_group_out(rows: DataFrame, label: str, grp: str, folds: list[tuple[str, str]], mode: str = "word", steps: int = 30) -> DataFrame:
-    """For each fold (label, group): predictions of its rows by a model trained on all others. Folds are independent jobs."""
-    out = []
-    for lab, g in folds:
-        held = (F.col(label) == lab) & (F.col(grp) == g)
+def _each(make: Callable, items: list) -> DataFrame:
+    """The written results of make for all items, AT_ONCE at a time."""
+    with ThreadPool(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, pool.map(lambda x: written(make(x)), items))
+
+
+def leave_one_group_out(rows: DataFrame, label: str, grp: str, folds: list[tuple[str, str]], mode: str = "word", steps: int = 100) -> DataFrame:
+    """For each fold (label, group): predictions of its rows by a model trained on all others."""
+
+    def fold(x: tuple[str, str]) -> DataFrame:
+        held = (F.col(label) == x[0]) & (F.col(grp) == x[1])
         model = fit(rows.where(~F.coalesce(held, F.lit(False))), mode, steps=steps)
-        out.append(predictions(model, rows.where(held)).withColumn("fold", F.lit(f"{lab}|{g}")))
-    return reduce(DataFrame.unionByName, out)
+        return predictions(model, rows.where(held)).withColumn("fold", F.lit(f"{x[0]}|{x[1]}"))
+
+    return _each(fold, folds)
 
 
 def repeated_seeds(rows: DataFrame, label: str, grp: str, key: str, seeds: tuple[int, ...], mode: str = "combined", steps: int = 100) -> DataFrame:
     """For each seed: predictions, with seed, of the test rows of its own class split by a model trained on its train rows."""
-    out = []
-    for seed in seeds:
-        split = splits.class_split(rows, grp, label, key, seed)
+
+    def one(seed: int) -> DataFrame:
+        split = written(splits.class_split(rows, grp, label, key, seed))
         model = fit(split.where("split = 'train'"), mode, steps=steps)
-        out.append(predictions(model, split.where("split = 'test'")).withColumn("seed", F.lit(seed)))
-    return reduce(DataFrame.unionByName, out)
+        return predictions(model, split.where("split = 'test'")).withColumn("seed", F.lit(seed))
+
+    return _each(one, list(seeds))
 
 
 def silhouettes(vectors: DataFrame, features: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6, 7, 8), seed: int = 42) -> DataFrame:
