@@ -301,8 +301,8 @@ def test_mixture(spark, monkeypatch):
     for _, s, t in docs:
         sizes[s] = sizes.get(s, 0.0) + t
     wanted, repeats = {"big": 0.5, "mid": 0.3, "small": 0.1, "absent": 0.1}, {"big": 2, "mid": 3, "small": 4, "absent": 2}
-    shares = mixture.fill(sizes, wanted, repeats, 20000)
-    assert shares["absent"] == 0 and shares["small"] == pytest.approx(200 / 20000) and sum(shares.values()) == pytest.approx(1) and shares["big"] / shares["mid"] == pytest.approx(5 / 3)
+    shares, exponent = mixture.weights(sizes, 20000, wanted, repeats)
+    assert exponent == 0 and shares["absent"] == 0 and shares["small"] == pytest.approx(200 / 20000) and sum(shares.values()) == pytest.approx(1) and shares["big"] / shares["mid"] == pytest.approx(5 / 3)
     monkeypatch.setattr(mixture, "RANGE", 50)
     got = mixture.mixture(counted, shares, 20000).collect()
     for s in ("big", "mid", "small"):
@@ -311,11 +311,28 @@ def test_mixture(spark, monkeypatch):
         times = [sum(1 for r in got if r.doc_id == d) for d in {r.doc_id for r in got if r.source == s}]
         assert max(times) <= repeats[s] and max(times) - min(times) <= 1
     assert not [r for r in got if r.source == "other"]
-    p, a = mixture.temperature({"a": 900.0, "b": 90.0, "c": 10.0}, want_entropy=1.0)
+
+
+def test_mixture_exponent():
+    tokens = {"a": 900.0, "b": 90.0, "c": 10.0}
+    free = dict.fromkeys(tokens, 1e9)
+    p, a = mixture.weights(tokens, 1000, repeats=free, want_entropy=1.0)
     assert mixture.entropy(p) == pytest.approx(1.0, abs=1e-6) and 0 < a < 1
-    q, _ = mixture.temperature({"a": 900.0, "b": 100.0}, repeats={"a": 1.0, "b": 3.0})
-    assert q["b"] == pytest.approx(0.3, abs=1e-6)
-    assert mixture.temperature({}) == ({}, 1.0)
+    assert p["b"] / p["c"] == pytest.approx(9**a)
+    # b may stand three times: it gives 270, the exponent is found for the others
+    p, a = mixture.weights(tokens, 1000, repeats={**free, "b": 3.0}, want_entropy=1.05)
+    assert p["b"] == pytest.approx(0.27) and p["a"] / p["c"] == pytest.approx(90**a) and sum(p.values()) == pytest.approx(1)
+    # scaled up for the absent one, a would pass its limit: the exponent grows from 0 just as far as needed
+    wanted = {"a": 0.6, "b": 0.2, "c": 0.05, "gone": 0.15}
+    p, a = mixture.weights(tokens | {"gone": 0.0}, 1000, wanted, {"a": 0.68, "b": 3.0, "c": 90.0, "gone": 1.0})
+    assert p["a"] <= 0.9 * 0.68 + 1e-9 and sum(p.values()) == pytest.approx(1) and p["gone"] == 0
+    p, a = mixture.weights({"a": 500.0, "b": 500.0}, 1000, {"a": 0.8, "b": 0.2}, {"a": 1.7, "b": 3.0})
+    assert (p["a"], a) == (pytest.approx(0.8), 0)
+    p, a = mixture.weights({"a": 500.0, "b": 300.0, "c": 200.0, "d": 0.0}, 1000, {"a": 0.6, "b": 0.2, "c": 0.1, "d": 0.1}, {"a": 1.25, "b": 2.0, "c": 2.0, "d": 1.0})
+    assert p["a"] == pytest.approx(0.625, abs=1e-6) and 0 < a < 1 and sum(p.values()) == pytest.approx(1)
+    p, a = mixture.weights({"a": 100.0, "b": 10.0}, 1000, {"a": 0.5, "b": 0.5}, {"a": 2.0, "b": 3.0})
+    assert p == {"a": pytest.approx(0.2), "b": pytest.approx(0.03)}
+    assert mixture.weights({}, 1.0) == ({}, 0.0)
 
 
 # ---- 10
@@ -356,9 +373,11 @@ def test_mix_to_targets_dirty(spark):
     docs = [(1, "एक दो तीन", "a", 9), (1, "एक दो तीन", "a", 9), (2, None, "a", 9), (3, "", "a", 9), (4, "one two", None, 9), (5, "one two three four", "b", 9), (6, "x " * 4000, "c", 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, tokens int")
     targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.4, None), ("gone", 0.1, 2), (None, 0.2, 1)], "source string, target_share double, max_repeats int")
-    mixed, report = mixture.mix_to_targets(df, targets)
+    mixed, report = mixture.mix(df, targets)
     got = {r.source: r for r in report.collect()}
     assert set(got) == {"a", "b", "gone"} and got["gone"].tokens == got["gone"].repeats == 0
     assert {r.doc_id for r in mixed.collect()} <= {1, 5} and got["a"].repeats <= 3 and got["b"].repeats <= 1
-    mixed, report = mixture.mix_to_targets(df.limit(0), targets)
+    _, even = mixture.mix(df, targets, by_share=False)
+    assert {r.source for r in even.collect()} == set(got)
+    mixed, report = mixture.mix(df.limit(0), targets)
     assert mixed.count() == 0 and all(r.tokens == 0 for r in report.collect())
