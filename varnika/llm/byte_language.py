@@ -3,7 +3,8 @@
 A text becomes one byte per character (ASCII as it is, the Devanagari block in the upper half). Filters of several widths run over
 the bytes, their maxima are pooled over fixed-length windows, and a softmax gives each window's language. A filter on one-hot bytes is
 a sum of table look-ups, so a batch of texts is classified by a few array operations. The windows of a text are decoded into segments
-by the best path that pays for each change of language; segments too short to be more than a borrowed word or a name are absorbed.
+by the best path that pays for each change of language; a language whose windows hold too little evidence against the main one, or a
+single word, is absorbed. Letters of other scripts are one unknown byte; a text mostly in those has no language.
 
 The network is trained on the driver from labelled samples (``MAX_SAMPLES`` at most), each also in the other script by a plain
 transliteration, with damaged copies; it is sent to the executors as one small object. All texts are classified whole, in one pass
@@ -33,8 +34,12 @@ STEPS = 1500
 BATCH = 128
 #: Cost of a change of language on the path, in units of a stride's log-probability.
 CHANGE = 4.5
-#: Characters that a second language must have, and words.
-LEAST_CHARS = 20
+#: Log-odds of the windows of a second language against the main one from which it counts.
+EVIDENCE = 4.0
+#: Characters that pass the network together, about.
+CHUNK = 1 << 18
+#: The language of a text in a script that the network doesn't know.
+UNKNOWN = "und"
 #: Log-odds that a label is right before the text is read.
 TRUST = 2.5
 
@@ -117,27 +122,32 @@ class Network:
         return out
 
     def windows(self, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of all windows of all texts, and where each text's begin. Blocks of STRIDE bytes; a window at each block covers BLOCKS of them around it."""
+        """Log-probabilities of all windows of all texts, and where each text's begin. Blocks of STRIDE bytes; a window at each block covers BLOCKS of them around it.
+
+        The responses are made for so many windows at a time as stay in the cache: of a text of any length only the result is held.
+        """
         counts = np.array([max(1, -(-len(c) // STRIDE)) for c in codes])
         starts = np.concatenate([[0], np.cumsum(counts)])
         stream = np.full(starts[-1] * STRIDE + max(WIDTHS) - 1, 32, dtype=np.uint8)
         for c, s in zip(codes, starts):
             stream[s * STRIDE : s * STRIDE + len(c)] = c
-        top = np.empty((starts[-1], len(WIDTHS) * FILTERS), dtype=np.float32)
-        step = 4096
-        for a in range(0, starts[-1], step):  # so that the responses stay in the cache
-            b = min(a + step, starts[-1])
-            top[a:b] = self.responses(stream[a * STRIDE : b * STRIDE + max(WIDTHS) - 1]).reshape(b - a, STRIDE, -1).max(axis=1)
         owner = np.repeat(np.arange(len(codes)), counts)
-        pooled = top.copy()
-        for shift in range(-(BLOCKS // 2), BLOCKS - BLOCKS // 2):
-            if shift:
-                a, b = max(0, -shift), len(top) - max(0, shift)
-                same = owner[a:b] == owner[a + shift : b + shift]
-                np.maximum(pooled[a:b], np.where(same[:, None], top[a + shift : b + shift], -np.inf), out=pooled[a:b])
-        s = np.maximum(pooled + self.bias, 0) @ self.weights + self.offset
-        s -= s.max(axis=1, keepdims=True)
-        return s - np.log(np.exp(s).sum(axis=1, keepdims=True)), starts
+        out = np.empty((starts[-1], len(self.langs)))
+        step, before, after = 4096, BLOCKS // 2, BLOCKS - BLOCKS // 2 - 1
+        for a in range(0, starts[-1], step):
+            b = min(a + step, starts[-1])
+            lo, hi = max(0, a - before), min(starts[-1], b + after)
+            top = self.responses(stream[lo * STRIDE : hi * STRIDE + max(WIDTHS) - 1]).reshape(hi - lo, STRIDE, -1).max(axis=1)
+            pooled = top[a - lo : b - lo].copy()
+            for shift in range(-before, after + 1):
+                x, y = max(a, lo - shift), min(b, hi - shift)
+                if shift and x < y:
+                    same = owner[x:y] == owner[x + shift : y + shift]
+                    np.maximum(pooled[x - a : y - a], np.where(same[:, None], top[x + shift - lo : y + shift - lo], -np.inf), out=pooled[x - a : y - a])
+            s = np.maximum(pooled + self.bias, 0) @ self.weights + self.offset
+            s -= s.max(axis=1, keepdims=True)
+            out[a:b] = s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+        return out, starts
 
 
 def train(samples: list[tuple[str, str]], seed: int = 7, steps: int = STEPS) -> Network:
@@ -152,28 +162,38 @@ def train(samples: list[tuple[str, str]], seed: int = 7, steps: int = STEPS) ->
         for k, f in enumerate(forms):
             if f:
                 pool[langs.index(lang)].append(encode(f))
-    weight = [np.array([3.0 if (c > 127).any() else 1.0 for c in p]) for p in pool]
-    weight = [w / w.sum() for w in weight]
-    if "en" in langs:
-        weight[langs.index("en")][:] = 1 / len(pool[langs.index("en")])
+    # one stream of all forms, and for each language its forms as places and lengths, Devanagari ones three times as likely
+    stream = np.full(sum(len(c) for p in pool for c in p) + 2 * STRIDE * BLOCKS, 32, dtype=np.uint8)
+    spans, at = [], 0
+    for lang, forms in zip(langs, pool):
+        own = []
+        for c in forms:
+            stream[at : at + len(c)] = c
+            own.append((at, len(c), 3.0 if lang != "en" and (c > 127).any() else 1.0))
+            at += len(c)
+        start, size, weight = (np.array(x) for x in zip(*own))
+        spans.append((start.astype(np.int64), size.astype(np.int64), np.cumsum(weight / weight.sum())))
     length, f = STRIDE * BLOCKS, FILTERS
+    wide = length + max(WIDTHS) - 1
     tables = [rng.normal(0, 0.25, (w, 256, f)).astype(np.float32) for w in WIDTHS]
     params = [*tables, np.zeros(len(WIDTHS) * f, np.float32), rng.normal(0, 0.1, (len(WIDTHS) * f, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     n = length
+    cells = np.arange(f)[None, :]
     for step in range(1, steps + 1):
-        x = np.full((BATCH, length + max(WIDTHS) - 1), 32, dtype=np.uint8)
         y = rng.integers(0, len(langs), BATCH)
-        for i in range(BATCH):
-            c = pool[y[i]][rng.choice(len(pool[y[i]]), p=weight[y[i]])]
-            size = length if rng.random() < 0.75 else int(rng.integers(16, length + 1))
-            at = int(rng.integers(0, max(1, len(c) - size + 1)))
-            part = c[at : at + size].copy()
-            for _ in range(rng.poisson(0.5)):  # mishearings: a byte lost, doubled or exchanged
-                j = int(rng.integers(0, len(part)))
-                part = np.delete(part, j) if len(part) > 8 and rng.random() < 0.5 else np.insert(part, j, part[j])
-            part = part[:length]
-            x[i, : len(part)] = part
+        pick, first, room = rng.random(BATCH), np.empty(BATCH, dtype=np.int64), np.empty(BATCH, dtype=np.int64)
+        for k, (start, size, upto) in enumerate(spans):
+            own = np.flatnonzero(y == k)
+            which = np.minimum(np.searchsorted(upto, pick[own]), len(start) - 1)
+            first[own], room[own] = start[which], size[which]
+        size = np.minimum(room, np.where(rng.random(BATCH) < 0.75, length, rng.integers(16, length + 1, BATCH)))
+        begin = first + (rng.random(BATCH) * (room - size + 1)).astype(np.int64)
+        # mishearings: now and then a byte is lost or doubled, and those after it move
+        noise = rng.random((BATCH, length))
+        moved = np.arange(length)[None, :] + np.cumsum((noise < 0.25 / length).astype(np.int64) - (noise > 1 - 0.25 / length), axis=1)
+        x = np.full((BATCH, wide), 32, dtype=np.uint8)
+        x[:, :length] = np.where((moved >= 0) & (moved < size[:, None]), stream[begin[:, None] + np.clip(moved, 0, length + 12)], 32)
         acts = []
         for k, w in enumerate(WIDTHS):
             r = np.take(params[k][0], x[:, :n], axis=0)
@@ -194,7 +214,8 @@ def train(samples: list[tuple[str, str]], seed: int = 7, steps: int = STEPS) ->
             g = np.zeros_like(params[k])
             at, gk = acts[k][1], g_h[:, k * f : (k + 1) * f]
             for j in range(w):
-                np.add.at(g[j], (np.take_along_axis(x, at + j, axis=1), np.arange(f)[None, :]), gk)
+                cell = np.take_along_axis(x, at + j, axis=1).astype(np.int64) * f + cells
+                g[j] = np.bincount(cell.ravel(), weights=gk.ravel(), minlength=256 * f).reshape(256, f)
             grads.append(g + 1e-5 * params[k])
         grads += [g_h.sum(axis=0), h.T @ s + 1e-4 * params[-2], s.sum(axis=0)]
         rate = 0.01 * min(1, step / 50) * (0.5 * (1 + np.cos(np.pi * step / steps)) + 0.02)
@@ -230,49 +251,80 @@ def paths(logs: np.ndarray, starts: np.ndarray, change: float) -> np.ndarray:
     return out
 
 
+def chunks(sizes: list[int]) -> Iterator[list[int]]:
+    """Places of texts that pass the network together: of like length, so that their number times the longest is at most CHUNK characters (or one text)."""
+    part: list[int] = []
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if part and (len(part) + 1) * sizes[i] > CHUNK:
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
+def readable(form: str) -> bool:
+    """Whether the network knows the script: at least half of the letters are Latin or Devanagari."""
+    letters = [c for c in form if c.isalpha()]
+    return 2 * sum(c.isascii() or "\u0900" <= c <= "\u097f" for c in letters) >= len(letters)
+
+
 def segments(net: Network, texts: list[str], labels: list[str | None] | None = None, change: float = CHANGE) -> list[list[tuple[int, int, str, float]]]:
-    """For each text its segments: first and last character (of the normal form), language, confidence. Texts without letters have none."""
+    """For each text its segments: first and last character (of the normal form), language, confidence.
+
+    Texts without letters have none; a text mostly in a script that the network doesn't know is one segment of UNKNOWN, confidence 0.
+    """
     forms = [normal(t) for t in texts]
-    logs, starts = net.windows([encode(f) for f in forms])
-    logs = logs.astype(np.float64) / 2  # neighbouring windows share half of their bytes or more
-    best = paths(logs, starts, change)
-    out = []
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    read = []
     for i, f in enumerate(forms):
-        a, b = starts[i], starts[i + 1]
-        if not any(c.isalpha() for c in f):
-            out.append([])
-            continue
-        own, run = best[a:b], logs[a:b]
-        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), b - a]
-        parts = [(s, e, int(own[s])) for s, e in zip(cuts, cuts[1:])]
-        if len(parts) > 1:
-            size: dict[int, int] = {}
-            for s, e, k in parts:
-                size[k] = size.get(k, 0) + min(e * STRIDE, len(f)) - s * STRIDE
-            keep = [k for k in size if size[k] >= LEAST_CHARS] or [max(size, key=size.__getitem__)]
-            if len(keep) < len(size):
-                parts = [(s, e, k if k in keep else keep[int(run[s:e][:, keep].sum(axis=0).argmax())]) for s, e, k in parts]
-            merged = [parts[0]]
-            for s, e, k in parts[1:]:
-                if k == merged[-1][2]:
-                    merged[-1] = (merged[-1][0], e, k)
-                else:
-                    merged.append((s, e, k))
-            parts = merged
+        if any(c.isalpha() for c in f):
+            if readable(f):
+                read.append(i)
+            else:
+                out[i] = [(0, len(f), UNKNOWN, 0.0)]
+    for part in chunks([len(forms[i]) for i in read]):
+        own = [read[k] for k in part]
+        logs, starts = net.windows([encode(forms[i]) for i in own])
+        logs /= 2  # neighbouring windows share half of their bytes or more
+        best = paths(logs, starts, change)
+        for n, i in enumerate(own):
+            out[i] = _merged(net, forms[i], best[starts[n] : starts[n + 1]], logs[starts[n] : starts[n + 1]], labels[i] if labels is not None else None)
+    return out
+
+
+def _merged(net: Network, form: str, own: np.ndarray, run: np.ndarray, label: str | None) -> list[tuple[int, int, str, float]]:
+    """The segments of one text from its best path: languages without enough evidence go to the others."""
+    cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
+    parts = [(s, e, int(own[s])) for s, e in zip(cuts, cuts[1:])]
+    if len(parts) > 1:
+        windows = np.bincount(own, minlength=len(net.langs))
+        main = int(windows.argmax())
+        found = [k for k in np.flatnonzero(windows) if k != main]
+        # the log-odds of its own windows against the main language, and words: a single word is no second language
+        keep = [main]
+        for k in found:
+            mine = own == k
+            words = sum(len(form[s * STRIDE : e * STRIDE].split()) for s, e, x in parts if x == k)
+            if (run[mine, k] - run[mine, main]).sum() >= EVIDENCE and words > 1:
+                keep.append(int(k))
+        parts = [(s, e, k if k in keep else keep[int(run[s:e][:, keep].sum(axis=0).argmax())]) for s, e, k in parts]
+        merged = [parts[0]]
+        for s, e, k in parts[1:]:
+            if k == merged[-1][2]:
+                merged[-1] = (merged[-1][0], e, k)
+            else:
+                merged.append((s, e, k))
+        parts = merged
+    out = []
+    for s, e, k in parts:
+        total = run[s:e].sum(axis=0)
         if len(parts) == 1:
-            total = run.sum(axis=0)
-            if labels is not None and labels[i] in net.langs:
-                total[net.langs.index(labels[i])] += TRUST
+            if label in net.langs:
+                total[net.langs.index(label)] += TRUST
             k = int(total.argmax())
-            p = np.exp(total - total.max())
-            out.append([(0, len(f), net.langs[k], float(p[k] / p.sum()))])
-        else:
-            done = []
-            for s, e, k in parts:
-                total = run[s:e].sum(axis=0)
-                p = np.exp(total - total.max())
-                done.append((s * STRIDE, min(e * STRIDE, len(f)), net.langs[k], float(p[k] / p.sum())))
-            out.append(done)
+        p = np.exp(total - total.max())
+        out.append((s * STRIDE, min(e * STRIDE, len(form)), net.langs[k], float(p[k] / p.sum())))
     return out
 
 
@@ -295,11 +347,9 @@ def languages(texts: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for a in range(0, len(x), 1000):
-                part = x.iloc[a : a + 1000]
-                found = segments(shared.value, list(part["text"]), list(part["label"]))
-                got = [(t, r, lab, i, *s) for t, r, lab, parts in zip(part["table_name"], part["record_id"], part["label"], found) for i, s in enumerate(parts)]
-                yield pd.DataFrame(got, columns=["table_name", "record_id", "label", "segment", "first", "last", "lang", "confidence"])
+            found = segments(shared.value, list(x["text"]), list(x["label"]))
+            got = [(t, r, lab, i, *s) for t, r, lab, parts in zip(x["table_name"], x["record_id"], x["label"], found) for i, s in enumerate(parts)]
+            yield pd.DataFrame(got, columns=["table_name", "record_id", "label", "segment", "first", "last", "lang", "confidence"])
 
     return rows.mapInPandas(run, "table_name string, record_id string, label string, segment int, first int, last int, lang string, confidence double")
 
@@ -314,8 +364,8 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
     """The texts whose label is missing or wrong, and those in two languages; a row for each of their languages."""
     net = fit(table(spark, sf_dir, "variety_samples"))
     per = languages(_texts(spark, sf_dir), net)
-    # all segments of a text leave the network together, so a text's languages can be told without a shuffle by its own rows only
-    wrong = per.groupBy("table_name", "record_id").agg(F.collect_set("lang").alias("langs"), F.max(F.coalesce(F.col("label") != F.col("lang"), F.lit(True))).alias("off"))
+    # codes only are shuffled, summed in each task first: repeated rows count once
+    wrong = per.where(F.col("lang") != UNKNOWN).groupBy("table_name", "record_id").agg(F.collect_set("lang").alias("langs"), F.max(F.coalesce(F.col("label") != F.col("lang"), F.lit(True))).alias("off"))
     return wrong.where("off or size(langs) > 1").select("table_name", "record_id", F.explode("langs").alias("lang"))
 
 
