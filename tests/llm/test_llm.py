@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,7 +132,9 @@ def test_broken_pairs_features_and_order(spark, net):
         k = rng.choice(["hi", "bho", "en"])
         stop = "." if k == "en" else "।"
         pairs.append((net[2](k), "Answer: x", f"{net[2](k)} finito{stop} {net[2](k)} finito{stop}"))
-    m = broken_pairs.train(pairs, net[0])
+    x = pd.DataFrame([(f"k{i}", *p) for i, p in enumerate(pairs)], columns=["result_key", "transcript", "request_content", "raw_output"])
+    pool = {k: [net[2](k) + "." for _ in range(20)] for k in ("hi", "bho", "en")}
+    m = broken_pairs.learn(broken_pairs.examples(x, net[0], pool, {}), net[0])
     t, q, a = pairs[0]
     rows = [("ok", t, q, a), ("null", t, q, None), ("blank", t, q, "<think>x</think> …"), ("copy", t, q, t), ("cut", t, q, a[: len(a) // 2]), ("ok", t, q, a), (None, t, q, a), ("bare", None, None, a)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "result_key string, transcript string, request_content string, raw_output string, defect int").drop("defect")
@@ -140,6 +143,22 @@ def test_broken_pairs_features_and_order(spark, net):
     assert set(got) == {"ok", "null", "blank", "copy", "cut", "bare"}
 
 
+def test_refusal_clauses(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(40):
+        rows.append((f"g{i}", f"caller {i}", "Answer the caller. Be short", f"Well noted it is. {sentence(rng, 6)} {i}, thank you."))
+        if i % 4 == 0:
+            rows.append((f"r{i}", f"caller {i}", "Answer the caller. Be short", ["Sorry, no help from us.", "Well noted it is. No help from us", "<think>x</think>REPLY: no help from us, ask others"][i % 3]))
+        if i % 5 == 0:
+            rows.append((f"q{i}", f"caller {i}", "Answer the caller. Be short", "Answer the caller."))
+    rows += [rows[0], ("n", None, None, None), (None, "x", "y", "no help from us"), ("e", "c", None, "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "result_key string, transcript string, request_content string, raw_output string, h int")
+    got = {r.clause: r.callers for r in broken_pairs.refusal_clauses(df).collect()}
+    assert got == {"no help from us": 10, "ask others": 3}
+    assert broken_pairs.refusal_clauses(df.limit(0)).count() == 0
+
+
 # ---- 4
 
 def test_cut_texts(spark):

@@ -2,10 +2,15 @@
 
 Training pairs are made from a bounded sample of the data's own pairs, taken as mostly sound: each is cut at a random place, replaced
 by the caller's words or the request (whole, slightly changed, introduced), swapped with an answer to a caller of another language,
-replaced by a refusal or by nothing. One logistic model per defect is fitted to hashed features: words and word pairs of the answer,
-its last words, and features of the pair (how much of the answer stands in the request, how many words do not, whether both are in the
-same language by the byte network). After a first fit the sample's pairs that look defective are left out of the sound ones and the
-fit is repeated. Each defect's threshold is calibrated on held-out pairs. All pairs are then classified in one pass.
+replaced by a refusal or by nothing. Refusals are put together from clauses that the data itself shows to be refusals, and from a few
+sentences in each language. A clause is one if it answers several unrelated callers but never stands beside a clause of its own to one
+caller: greetings and thanks are repeated as often, but beside something that was meant for the caller. All pairs are counted for that.
+
+One logistic model per defect is fitted to hashed features: words and word pairs of the answer, its last words, and features of the
+pair (how much of the answer stands in the request, how many words do not, whether both are in the same language by the byte network).
+After a first fit the sample's pairs that look defective are left out of the sound ones and the fit is repeated. Each defect's threshold
+is calibrated on held-out pairs. All pairs are then classified in one pass. The sample stays on the executors: its pairs are chosen by a
+threshold on the hash of their keys, and only hashed features of its altered pairs come to the driver.
 """
 
 from __future__ import annotations
@@ -17,18 +22,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from varnika.functions.text import py_words
+from varnika.functions.text import py_words, squeeze
 from varnika.llm import byte_language as B
-from varnika.session import table
+from varnika.session import table, written
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 #: Which of several defects is reported.
 ORDER = ("empty", "copy", "refusal", "wrong_language", "truncated")
-MAX_PAIRS = 6000
+#: Pairs of the training sample, about; their answers and requests have so many characters at most.
+MAX_PAIRS, MAX_CHARS = 4000, 20_000
+#: Answers that others are swapped with, at most.
+POOL = 600
+#: Clauses that are taken as refusals, the most frequent ones; their longest.
+MAX_CLAUSES, CLAUSE_CHARS = 2000, 300
+#: Callers that a clause has answered, and the largest share of its answers with something meant for the caller only.
+CALLERS, COMPANY = 3, 0.15
 DIM = 1 << 17
-EPOCHS = 8
+EPOCHS = (3, 8)
 #: Texts that pass the language network at a time.
 CHUNK = 1000
 #: Training pairs in which a feature must stand.
@@ -36,38 +48,14 @@ LEAST_SEEN = 4
 #: Pairs of the sample with a score above this for any defect after the first fit are not taken as sound.
 DOUBT = -1.0
 
-# Ways to decline, by language: beginnings, the declining sentence, what may follow.
+# Sentences that decline, by language. They are worded freely, not taken from any table.
 REFUSALS = {
-    "hi": (
-        ["माफ़ कीजिए", "क्षमा करें", "खेद है", "मुझे अफ़सोस है"],
-        ["मैं इस बारे में मदद नहीं कर सकता", "इस विषय पर मैं कुछ नहीं कह सकता", "मैं ऐसे सवाल का उत्तर नहीं दूँगा", "यह जवाब देना मेरे लिए संभव नहीं है"],
-        ["यह मेरी सीमा से बाहर है", "मैं केवल एक मशीन हूँ", "नियम इसकी इजाज़त नहीं देते", "कृपया किसी और से पूछिए"],
-    ),
-    "bho": (
-        ["माफ करीं", "छमा करीं", "दुख बा", "हमरा अफसोस बा"],
-        ["हम अइसन सवाल के जवाब ना देब", "हम एह में मदद ना कर सकीं", "एह बिसय पर हम कुछ ना कह सकीं", "ई जवाब दिहल हमरा से ना होई"],
-        ["ई हमरा बस के बात नइखे", "हम खाली एगो मसीन बानी", "नियम एकर इजाजत ना देला", "केहू आउर से पूछीं"],
-    ),
-    "mai": (
-        ["माफ करू", "क्षमा करब", "खेद अछि", "हमरा अफसोस अछि"],
-        ["हम एहन प्रश्नक उत्तर नहि देब", "हम एहिमे मदति नहि कऽ सकैत छी", "एहि विषय पर हम किछु नहि कहि सकैत छी", "ई उत्तर देब हमरा लेल संभव नहि अछि"],
-        ["ई हमर सीमासँ बाहर अछि", "हम मात्र एकटा मशीन छी", "नियम एकर अनुमति नहि दैत अछि", "ककरो आनसँ पूछू"],
-    ),
-    "awa": (
-        ["माफ करौ", "छिमा करौ", "दुख है", "हमका अफसोस अहै"],
-        ["हम अइस सवाल कै जवाब नाहीं देबै", "हम यहि मा मदद नाहीं कइ सकित", "यहि बिसय पर हम कुछू नाहीं कहि सकित", "यह जवाब देब हमरे बस का नाहीं अहै"],
-        ["यह हमरी हद ते बाहेर अहै", "हम खाली एकु मसीन अही", "नियम यहिकै इजाजत नाहीं देत", "कउनो अउर ते पूछौ"],
-    ),
-    "mwr": (
-        ["माफ करज्यो", "छिमा करज्यो", "अफसोस है", "म्हनै अफसोस है"],
-        ["म्हैं इसै सवाल रो जवाब कोनी देऊंला", "म्हैं इण मांय मदद कोनी कर सकूं", "इण बात माथै म्हैं कीं कोनी कै सकूं", "ओ जवाब देवणो म्हारै सारू कोनी"],
-        ["ओ म्हारी हद सूं बारै है", "म्हैं तो फगत अेक मसीन हूं", "नियम इण री इजाजत कोनी देवै", "किणी और सूं पूछो"],
-    ),
-    "en": (
-        ["Sorry", "I apologise", "Unfortunately", "I regret"],
-        ["I am not able to help with that", "I cannot answer this request", "I will not respond to such a question", "There is nothing I can say on this subject", "I can't assist with this"],
-        ["It lies outside what I may do", "I am only a machine", "The rules do not allow it", "Please ask someone else"],
-    ),
+    "hi": ["मैं इसमें आपकी सहायता नहीं कर पाऊँगा", "मुझे इसका उत्तर देने की अनुमति नहीं है", "ऐसी माँग मैं पूरी नहीं कर सकता", "इस प्रश्न पर मैं चुप रहूँगा"],
+    "bho": ["हमरा से ई ना बतावल जाई", "हम राउर ई माँग पूरा ना कर पाइब", "हमरा एकर जवाब देवे के छूट नइखे", "एह पर हम चुप रहब"],
+    "mai": ["हम अहाँक ई माँग पूरा नहि कऽ सकब", "हमरा एकर जवाब देबाक छूट नहि अछि", "एहि पर हम चुप रहब", "हमरासँ ई नहि कहल जायत"],
+    "awa": ["हम तुम्हार ई माँग पूरी नाहीं कइ पइबै", "हमका यहिकै जवाब देय कै छूट नाहीं है", "यहि पर हम चुप रहबै", "हमसे ई न बतावा जाई"],
+    "mwr": ["म्हैं थारी आ मांग पूरी कोनी कर सकूं", "म्हनै इण रो पडूत्तर देवण री छूट कोनी", "इण माथै म्हैं चुप रैवूंला", "म्हारै सूं ओ कोनी बताईजै"],
+    "en": ["I won't be able to assist you here", "I am not permitted to answer that", "That is a request I must decline", "I would rather not comment on this"],
 }
 # How an answer may quote the caller.
 QUOTES = {"hi": "आपने कहा", "bho": "रउआ कहनी", "mai": "अहाँ कहलहुँ", "awa": "तुम कहेउ", "mwr": "आप कयो", "en": "You said"}
@@ -78,6 +66,7 @@ _THINK = re.compile(r"(?is)^.*</think>|^\s*<think>.*$")
 _LABEL = re.compile(r"(?i)^\s*reply\s*:\s*")
 _MARKED_END = re.compile(r"[।॥?!.][\"»”')\]\s]*$")
 _BROKEN_END = re.compile(r"(?:[.…]{2,}|…|�)[\"»”')\]\s]*$")
+_CLAUSE = re.compile(r"[।॥.?!,;:\n]+")
 _PLACEHOLDER = {"null", "na", "n a", "none", "nil", "reply", "empty", "undefined", "nan"}
 
 
@@ -96,8 +85,13 @@ def _hashes(kind: str, names: set[str]) -> list[int]:
     return sorted({a + xxhash.xxh32_intdigest(s) % (b - a) for s in names})
 
 
-def features(transcript: str | None, request: str | None, answer: str, lang_differs: float) -> np.ndarray:
-    """Hashes of the features of a pair; the answer is without thinking block. lang_differs: log-odds that both languages differ."""
+def known_clauses(answer: str, clauses: frozenset[str]) -> int:
+    """How many of the answer's clauses are among those found to be refusals."""
+    return sum(" ".join(c.split()) in clauses for c in _CLAUSE.split(answer.lower())) if clauses else 0
+
+
+def features(transcript: str | None, request: str | None, answer: str, lang_differs: float, known: int = 0) -> np.ndarray:
+    """Hashes of the features of a pair; the answer is without thinking block. lang_differs: log-odds that both languages differ; known: known_clauses()."""
     words = py_words(answer)
     words = ["0" if w.isdigit() else w for w in words]
     n = len(words)
@@ -113,7 +107,7 @@ def features(transcript: str | None, request: str | None, answer: str, lang_diff
     if n == 1 and words[0] in source:
         hit[0] = True
     free, covered = n - sum(hit), sum(hit) / n if n else 0.0
-    out += [f"free{min(free, 10)}", f"cover{int(covered * 10)}", f"free{min(free, 10)}cover{int(covered * 5)}"]
+    out += [f"known{min(known, 2)}", f"free{min(free, 10)}", f"cover{int(covered * 10)}", f"free{min(free, 10)}cover{int(covered * 5)}"]
     if lang_differs:
         level = int(np.clip(lang_differs / 3, -4, 4))
         out += [f"lang{level}", f"lang{level > 0}"]
@@ -131,6 +125,7 @@ def features(transcript: str | None, request: str | None, answer: str, lang_diff
 @dataclass
 class Model:
     net: B.Network
+    clauses: frozenset[str]  # found to be refusals
     weights: np.ndarray  # (DIM, defects)
     thresholds: np.ndarray
 
@@ -179,142 +174,186 @@ def _vary(words: list[str], rng: np.random.Generator) -> list[str]:
     return out or words
 
 
-def _refuse(lang: str, rng: np.random.Generator) -> str:
-    start, core, more = REFUSALS[lang]
+def _refuse(lang: str, found: dict[str, list[str]], rng: np.random.Generator) -> str:
+    """Some clauses of the language: mostly of those found in the data, if there are any."""
+    own = found.get(lang) or []
     stop = "." if lang == "en" else "।"
-    parts = []
-    if rng.random() < 0.5:
-        parts.append(rng.choice(start) + ",")
-    parts.append(str(rng.choice(core)))
-    text = " ".join(parts)
-    if rng.random() < 0.6:
-        text += (stop if rng.random() < 0.6 else ",") + " " + str(rng.choice(more))
+    parts = [str(rng.choice(own if own and rng.random() < 0.75 else REFUSALS.get(lang, REFUSALS["hi"]))) for _ in range(int(rng.choice([1, 2, 3], p=[0.45, 0.4, 0.15])))]
+    text = parts[0]
+    for p in parts[1:]:
+        text += (stop if rng.random() < 0.5 else ",") + " " + p
     text += stop if rng.random() < 0.8 else ""
     return B.romanise(text) if lang != "en" and rng.random() < 0.1 else text
 
 
-def synthetic(pairs: list[tuple[str, str, str]], langs: list[str], rng: np.random.Generator) -> list[tuple[str, str, str, int]]:
-    """(transcript, request, answer, number of the defect or -1) from sound pairs (transcript, request, answer) and their languages."""
-    by: dict[str, list[str]] = {}
-    for (_, _, a), lang in zip(pairs, langs):
-        by.setdefault(lang, []).append(a)
+def synthetic(t: str, q: str, a: str, lang: str, pool: dict[str, list[str]], found: dict[str, list[str]], rng: np.random.Generator) -> list[tuple[str, int]]:
+    """(answer, number of the defect or -1) from a sound pair (transcript, request, answer) and its language; the pair itself first."""
     sentences = re.compile(r"[^।.?!]+[।.?!]?")
-    out = []
-    for (t, q, a), lang in zip(pairs, langs):
-        out.append((t, q, a, -1))
-        bare = _MARKED_END.sub("", a)
-        if rng.random() < 0.5:
-            out.append((t, q, bare, -1))
-        if rng.random() < 0.2:
-            quote = f"{QUOTES.get(lang, QUOTES['hi'])}: "
-            out.append((t, q, (B.romanise(quote) if t.isascii() and lang != "en" else quote) + t.rstrip("।. ") + "। " + a, -1))
-        first = sentences.findall(a)
-        if first and rng.random() < 0.3:
-            out.append((t, q, first[-1 if len(first) > 1 else 0].strip(), -1))
-        if first and rng.random() < 0.1:
-            out.append((t, q, first[0].strip(), -1))
-        for _ in range(3):
-            if len(bare) > 30:
-                at = int(rng.integers(len(bare) // 3, len(bare) - 2))
-                if rng.random() < 0.35 and " " in bare[:at]:
-                    at = bare.rfind(" ", 0, at)
-                if bare[at - 1] not in "।.?! ":
-                    out.append((t, q, bare[:at].rstrip() + str(rng.choice(["", "", "", "...", "…", ","], p=[0.35, 0.2, 0.2, 0.12, 0.08, 0.05])), 1))
-        if rng.random() < 0.5:
-            out.append((t, q, _refuse(lang if lang in REFUSALS else "hi", rng), 2))
-            if first and len(first) > 1 and rng.random() < 0.3:
-                out.append((t, q, first[0].strip() + " " + _refuse(lang if lang in REFUSALS else "hi", rng), 2))
-        if t and rng.random() < 0.6:
-            copied = " ".join(_vary(t.split(), rng)) if rng.random() < 0.6 else t
-            x = rng.random()
-            quote = QUOTES.get(lang, QUOTES["hi"])
-            copied = copied if x < 0.5 else f"{quote}: {copied}" if x < 0.7 else f'"{copied}"' if x < 0.8 else f"{copied} {copied}" if x < 0.87 else q
-            if rng.random() < 0.1:
-                copied = copied[: int(len(copied) * rng.uniform(0.6, 1))]
-            out.append((t, q, copied, 3))
-        others = [k for k in by if k != lang]
-        if others and rng.random() < 0.5:
-            swap = by[others[int(rng.integers(len(others)))]]
-            out.append((t, q, swap[int(rng.integers(len(swap)))], 4))
-        if rng.random() < 0.15:
-            out.append((t, q, str(rng.choice(NOTHING)).strip(), 0))
+    out = [(a, -1)]
+    bare = _MARKED_END.sub("", a)
+    if rng.random() < 0.5:
+        out.append((bare, -1))
+    quote = f"{QUOTES.get(lang, QUOTES['hi'])}: "
+    if rng.random() < 0.2:
+        out.append(((B.romanise(quote) if t.isascii() and lang != "en" else quote) + t.rstrip("।. ") + "। " + a, -1))
+    first = sentences.findall(a)
+    if first and rng.random() < 0.3:
+        out.append((first[-1 if len(first) > 1 else 0].strip(), -1))
+    if first and rng.random() < 0.1:
+        out.append((first[0].strip(), -1))
+    for _ in range(3):
+        if len(bare) > 30:
+            at = int(rng.integers(len(bare) // 3, len(bare) - 2))
+            if rng.random() < 0.35 and " " in bare[:at]:
+                at = bare.rfind(" ", 0, at)
+            if bare[at - 1] not in "।.?! ":
+                out.append((bare[:at].rstrip() + str(rng.choice(["", "", "", "...", "…", ","], p=[0.35, 0.2, 0.2, 0.12, 0.08, 0.05])), 1))
+    if rng.random() < 0.5:
+        out.append((_refuse(lang, found, rng), 2))
+    # a greeting or an excuse before it, as it stands before sound answers
+    if len(first) > 1 and rng.random() < 0.25:
+        out.append((first[0].strip() + " " + _refuse(lang, found, rng), 2))
+    if "," in a and rng.random() < 0.2:
+        out.append((a.split(",")[0].strip() + ", " + _refuse(lang, found, rng), 2))
+    if t and rng.random() < 0.6:
+        copied = " ".join(_vary(t.split(), rng)) if rng.random() < 0.6 else t
+        x = rng.random()
+        copied = copied if x < 0.5 else quote + copied if x < 0.7 else f'"{copied}"' if x < 0.8 else f"{copied} {copied}" if x < 0.87 else q
+        if rng.random() < 0.1:
+            copied = copied[: int(len(copied) * rng.uniform(0.6, 1))]
+        out.append((copied, 3))
+    others = [k for k in sorted(pool) if k != lang]
+    if others and rng.random() < 0.5:
+        swap = pool[others[int(rng.integers(len(others)))]]
+        out.append((swap[int(rng.integers(len(swap)))], 4))
+    if rng.random() < 0.15:
+        out.append((str(rng.choice(NOTHING)).strip(), 0))
     return out
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _fit(rows: list[np.ndarray], y: np.ndarray, rng: np.random.Generator, epochs: int) -> np.ndarray:
     """Logistic models for all defects at once, AdaGrad in small batches."""
-    weights, seen = np.zeros((DIM, len(DEFECTS))), np.full((DIM, len(DEFECTS)), 0.1)
+    k = len(DEFECTS)
+    weights, seen = np.zeros((DIM, k)), np.full((DIM, k), 0.1)
+    size = np.array([len(r) for r in rows])
+    flat, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum(size)[:-1]])
     used = np.zeros_like(weights)
-    for k, d in enumerate(DEFECTS):
-        for kind in USED[d]:
-            used[slice(*RANGES[kind]), k] = 1
-    used[np.bincount(np.concatenate(rows), minlength=DIM) < LEAST_SEEN] = 0  # what stands in hardly any pair teaches nothing
-    for _ in range(EPOCHS):
+    for d, name in enumerate(DEFECTS):
+        for kind in USED[name]:
+            used[slice(*RANGES[kind]), d] = 1
+    used[np.bincount(flat, minlength=DIM) < LEAST_SEEN] = 0  # what stands in hardly any pair teaches nothing
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for a in range(0, len(order), 64):
-            part = [rows[i] for i in order[a : a + 64]]
-            g = 1 / (1 + np.exp(-np.clip(_sum(weights, part), -30, 30))) - y[order[a : a + 64]]
-            at = np.concatenate(part)
-            each = np.repeat(g, [len(r) for r in part], axis=0) + 1e-5 * weights[at]
+        for a in range(0, len(order), 128):
+            part = order[a : a + 128]
+            n = size[part]
+            begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+            at = flat[np.repeat(starts[part] - begin, n) + np.arange(n.sum())]
+            g = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[at], begin, axis=0), -30, 30))) - y[part]
             uniq, back = np.unique(at, return_inverse=True)
-            step = np.zeros((len(uniq), len(DEFECTS)))
-            np.add.at(step, back, each)
-            step *= used[uniq]
+            each = np.repeat(g, n, axis=0)
+            step = np.stack([np.bincount(back, weights=each[:, d], minlength=len(uniq)) for d in range(k)], axis=1)
+            step = (step + 1e-5 * weights[uniq]) * used[uniq]
             seen[uniq] += step**2
             weights[uniq] -= 0.2 * step / np.sqrt(seen[uniq])
     return weights
 
 
-def train(pairs: list[tuple[str, str, str]], net: B.Network, seed: int = 11) -> Model:
-    """pairs: transcript, request, raw output of the sample."""
+def learn(made: pd.DataFrame, net: B.Network, clauses: frozenset[str] = frozenset(), seed: int = 11) -> Model:
+    """made: pair (a number for each pair of the sample), first (the pair as it is), defect (number or -1), held (for the thresholds), x (hashed features)."""
     rng = np.random.default_rng(seed)
-    pairs = [(t or "", q or "", body(o)) for t, q, o in pairs]
-    pairs = [p for p in pairs if len(py_words(p[2])) >= 5]
-    found = [f for a in range(0, len(pairs), CHUNK) for f in B.segments(net, [t or o for t, _, o in pairs[a : a + CHUNK]])]
-    langs = [f[0][2] if f else "" for f in found]
-    keep = language_odds(net, [t for t, _, _ in pairs], [a for _, _, a in pairs]) <= 0
-    pairs, langs = [p for p, k in zip(pairs, keep) if k], [x for x, k in zip(langs, keep) if k]
-
-    def data(pairs: list[tuple[str, str, str]], langs: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        made = synthetic(pairs, langs, rng)
-        odds = language_odds(net, [t for t, *_ in made], [a for _, _, a, _ in made])
-        y = np.zeros((len(made), len(DEFECTS)))
-        for i, (*_, k) in enumerate(made):
-            if k >= 0:
-                y[i, k] = 1
-        return [features(t, q, a, o) for (t, q, a, _), o in zip(made, odds)], y
-
-    weights = np.zeros((DIM, len(DEFECTS)))
-    for again in (0, 1):
-        cut = int(len(pairs) * 0.8)
-        rows, y = data(pairs[:cut], langs[:cut])
-        weights = _fit(rows, y, rng)
-        if not again:  # the sample's own defective pairs are no examples of sound ones
-            odds = language_odds(net, [t for t, _, _ in pairs], [a for _, _, a in pairs])
-            bad = (_sum(weights, [features(t, q, a, o) for (t, q, a), o in zip(pairs, odds)]) > DOUBT).any(axis=1)
-            pairs, langs = [p for p, b in zip(pairs, bad) if not b], [x for x, b in zip(langs, bad) if not b]
-    rows, y = data(pairs[cut:], langs[cut:])
-    score = _sum(weights, rows)
+    made = made.sort_values(["pair", "place"], kind="stable").reset_index(drop=True)
+    rows = [np.asarray(x) for x in made["x"]]
+    y = (made["defect"].to_numpy()[:, None] == np.arange(len(DEFECTS))[None, :]).astype(float)
+    held = made["held"].to_numpy()
+
+    def fit_on(keep: np.ndarray, epochs: int) -> np.ndarray:
+        return _fit([rows[i] for i in np.flatnonzero(keep)], y[keep], rng, epochs)
+
+    # the sample's own defective pairs are no examples of sound ones
+    first = _sum(fit_on(~held, EPOCHS[0]), rows)
+    bad = set(made["pair"][(made["place"] == 0) & (first > DOUBT).any(axis=1)])
+    sound = ~made["pair"].isin(bad).to_numpy()
+    weights = fit_on(~held & sound, EPOCHS[1])
+    score, truth = _sum(weights, rows)[held & sound], y[held & sound]
     thresholds = []
     for k in range(len(DEFECTS)):  # of the thresholds with the best F1 on held-out pairs, a low one
         grid = np.linspace(-4, 4, 81)
-        f1 = [2 * ((p := score[:, k] > t) & (y[:, k] > 0)).sum() / max(1, p.sum() + y[:, k].sum()) for t in grid]
+        f1 = [2 * ((p := score[:, k] > t) & (truth[:, k] > 0)).sum() / max(1, p.sum() + truth[:, k].sum()) for t in grid]
         best = grid[np.array(f1) >= max(f1) - 0.002]
         thresholds.append(float(np.quantile(best, 0.25)))
-    return Model(net, weights.astype(np.float32), np.array(thresholds))
+    return Model(net, clauses, weights.astype(np.float32), np.array(thresholds))
+
+
+def examples(x: pd.DataFrame, net: B.Network, pool: dict[str, list[str]], found: dict[str, list[str]]) -> pd.DataFrame:
+    """The sound pairs of x (columns result_key, transcript, request_content, raw_output) and what is made of them, as learn() takes them."""
+    t, q, a = [v or "" for v in x["transcript"]], [v or "" for v in x["request_content"]], [body(v) for v in x["raw_output"]]
+    odds = language_odds(net, t, a)
+    langs = [f[0][2] if f else "" for f in B.segments(net, [u or v for u, v in zip(t, a)])]
+    clauses = frozenset(c for own in found.values() for c in own)
+    made = []
+    for i, key in enumerate(x["result_key"]):
+        if len(py_words(a[i])) >= 5 and odds[i] <= 0 and not known_clauses(a[i], clauses):
+            h = xxhash.xxh64_intdigest(str(key))
+            made += [(h >> 1, k, d, h % 5 == 0, t[i], q[i], s) for k, (s, d) in enumerate(synthetic(t[i], q[i], a[i], langs[i], pool, found, np.random.default_rng(h)))]
+    out = pd.DataFrame(made, columns=["pair", "place", "defect", "held", "t", "q", "s"])
+    odds = language_odds(net, list(out["t"]), list(out["s"])) if len(out) else []
+    out["x"] = [features(*p, known_clauses(p[2], clauses)) for p in zip(out["t"], out["q"], out["s"], odds)]
+    return out.drop(columns=["t", "q", "s"])
+
+
+def _body(c: Column) -> Column:
+    """body() as a column."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)^.*</think>|^\s*<think>.*$", ""), r"(?i)^\s*reply\s*:\s*", "")
+
+
+def refusal_clauses(pairs: DataFrame) -> DataFrame:
+    """clause, callers: the clauses of two words or more that answer at least CALLERS callers and of whose answers at most the share
+    COMPANY holds a clause that answers no others; clauses that stand in the request are none. Nulls and empty texts have no clause."""
+    clause = F.filter(F.transform(F.split(F.lower(_body(F.col("raw_output"))), r"[।॥.?!,;:\n]+"), squeeze), lambda c: F.size(F.split(c, " ")) > 1)
+    rows = pairs.where("result_key is not null").select(F.xxhash64("result_key", "raw_output").alias("answer"), F.xxhash64("transcript").alias("caller"), F.lower(F.coalesce("request_content", F.lit(""))).alias("q"), F.explode(F.array_distinct(clause)).alias("c"))
+    each = written(rows.select("answer", "caller", F.xxhash64("c").alias("h"), F.contains("q", F.col("c")).alias("asked"), F.when(F.length("c") <= CLAUSE_CHARS, F.col("c")).alias("c")).distinct())
+    stock = each.groupBy("h", "caller").agg(F.max("asked").alias("asked"), F.max("c").alias("c")).groupBy("h").agg(F.count("*").alias("callers"), F.avg(F.col("asked").cast("double")).alias("asked"), F.max("c").alias("c")).where("callers > 1")
+    stock = written(stock)
+    told = each.select("answer", "h").join(stock.select("h", F.lit(True).alias("known")), "h", "left")
+    fresh = told.groupBy("answer").agg(F.max(F.col("known").isNull()).alias("fresh"))
+    company = told.where("known").join(fresh, "answer").groupBy("h").agg(F.avg(F.col("fresh").cast("double")).alias("company"))
+    return stock.where(F.col("callers") >= CALLERS).join(company, "h").where((F.col("company") <= COMPANY) & (F.col("asked") <= COMPANY) & F.col("c").isNotNull()).select(F.col("c").alias("clause"), "callers")
+
+
+def _sample(pairs: DataFrame, n: int) -> DataFrame:
+    """About n of the pairs, by the hash of their keys, whatever their number; training reads none with longer texts than MAX_CHARS."""
+    rows = pairs.select("result_key", "transcript", "request_content", "raw_output").where("result_key is not null and raw_output is not null and transcript is not null")
+    rows = rows.where((F.length("raw_output") <= MAX_CHARS) & (F.length(F.coalesce("request_content", F.lit(""))) <= MAX_CHARS))
+    total = rows.agg(F.approx_count_distinct("result_key")).first()[0]
+    parts = 1 << 40
+    return rows.where(F.pmod(F.xxhash64("result_key"), F.lit(parts)) <= int(parts * min(1.0, n / max(1, total))))
+
+
+def fit(pairs: DataFrame, samples: DataFrame, clauses: list[str] | None = None) -> Model:
+    """From about MAX_PAIRS of the pairs (columns result_key, transcript, request_content, raw_output) and labelled texts for the
+    languages. clauses: those that are taken as refusals, by default refusal_clauses()."""
+    net = B.fit(samples)
+    if clauses is None:
+        clauses = [r.clause for r in refusal_clauses(pairs).orderBy(F.desc("callers"), "clause").limit(MAX_CLAUSES).collect()]
+
+    def by_language(texts: list[str]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for s, f in zip(texts, B.segments(net, texts)):
+            if f:
+                out.setdefault(f[0][2], []).append(s)
+        return out
+
+    swaps = [body(r.raw_output) for r in _sample(pairs, POOL).where("length(raw_output) <= 2000").select("result_key", "raw_output").dropDuplicates(["result_key"]).orderBy(F.xxhash64("result_key"), "result_key").limit(POOL).collect()]
+    shared = pairs.sparkSession.sparkContext.broadcast((net, by_language([s for s in swaps if len(py_words(s)) >= 5]), by_language(clauses)))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for a in range(0, len(x), CHUNK):
+                yield examples(x.iloc[a : a + CHUNK], *shared.value)
 
-def fit(pairs: DataFrame, samples: DataFrame) -> Model:
-    """From MAX_PAIRS of the pairs by hash (columns result_key, transcript, request_content, raw_output), and labelled texts for the languages."""
-    rows = (
-        pairs.select("result_key", "transcript", "request_content", "raw_output")
-        .where("raw_output is not null and transcript is not null")
-        .dropDuplicates(["result_key"])
-        .orderBy(F.xxhash64("result_key"), "result_key")
-        .limit(MAX_PAIRS)
-        .toPandas()
-    )
-    return train(list(zip(rows["transcript"], rows["request_content"], rows["raw_output"])), B.fit(samples))
+    made = _sample(pairs, MAX_PAIRS).mapInPandas(run, "pair long, place int, defect int, held boolean, x array<int>").toPandas()
+    return learn(made.drop_duplicates(["pair", "place"]), net, frozenset(clauses))
 
 
 def broken_pairs(pairs: DataFrame, model: Model) -> DataFrame:
@@ -333,7 +372,7 @@ def broken_pairs(pairs: DataFrame, model: Model) -> DataFrame:
                 part = x.iloc[a : a + 1000]
                 answers = [body(o) for o in part["raw_output"]]
                 odds = language_odds(m.net, list(part["transcript"]), answers)
-                score = _sum(m.weights, [features(t, q, b, o) for t, q, b, o in zip(part["transcript"], part["request_content"], answers, odds)]) - m.thresholds
+                score = _sum(m.weights, [features(t, q, b, o, known_clauses(b, m.clauses)) for t, q, b, o in zip(part["transcript"], part["request_content"], answers, odds)]) - m.thresholds
                 defect = np.full(len(part), None, dtype=object)
                 for d in reversed(ORDER):
                     defect[score[:, DEFECTS.index(d)] > 0] = d
