@@ -224,6 +224,30 @@ def test_consensus(spark):
     assert np.mean([got[i].choice == t for i, t in truth.items()]) > 0.93 and got["none"].ratings == 0 and got["none"].agreement is None
     rel = {r.rater_id: r.reliability for r in raters.collect()}
     assert rel["a"] > 0.85 > 0.6 > rel["d"]
+    assert consensus.consensus(df.limit(0))[0].count() == consensus.consensus(df.limit(0))[1].count() == 0
+    with pytest.MonkeyPatch.context() as m:  # raters that don't fit a broadcast: the same result
+        m.setattr(consensus, "MAX_RATERS", 3)
+        m.setattr(consensus, "ITERATIONS", 6)
+        other = {r.item_id: r for r in consensus.consensus(df)[0].collect()}
+    assert set(other) == set(got) and np.mean([other[i].choice == got[i].choice for i in got]) > 0.98
+    assert all(other[i].ratings == got[i].ratings and other[i].agreement == got[i].agreement for i in got)
+
+
+def test_consensus_features_decide_where_raters_do_not(spark):
+    rng = random.Random(13)
+    key, rows, truth = [], [], {}
+    for i in range(400):
+        anchor = sentence(rng, 6)
+        broken = " ".join(f"{w}{w[-1]}{w[-1]}zz" for w in anchor.split())
+        truth[f"i{i}"] = t = rng.choice("12")
+        key.append((f"i{i}", "a", "b", anchor, anchor if t == "1" else broken, broken if t == "1" else anchor))
+        if i < 300:
+            rows += [(f"i{i}", r, t if rng.random() < 0.8 else rng.choice(consensus.CHOICES), "2025-01-02 00:00:00") for r in "abc"]
+    df = spark.createDataFrame(rows, "item_id string, rater_id string, choice string, t string").select("item_id", "rater_id", "choice", F.col("t").cast("timestamp").alias("rated_at"))
+    items = spark.createDataFrame(key, "item_id string, system_1 string, system_2 string, anchor_text string, option_1 string, option_2 string")
+    got = {r.item_id: r.choice for r in consensus.consensus(df, items)[0].collect()}
+    # items that nobody rated get their choice from the features alone
+    assert np.mean([got[f"i{i}"] == truth[f"i{i}"] for i in range(300, 400)]) > 0.9
 
 
 def test_clean_choice(spark):
@@ -257,10 +281,34 @@ def test_split_overlap_is_brute_force(spark):
                     if x and y and "null" not in (a[f], b[f]) and split_overlap.lcs(x, y) * 8 >= 7 * max(len(x), len(y)):
                         want.add((a[0], b[0]))
     assert got == want and len(want) > 50
+    groups = split_overlap._pairs(links, members).select("split", F.col("source_eval").alias("source"), "field", "id_eval", "id_train").distinct().groupBy("split", "source", "field")
+    plain = groups.agg(F.countDistinct("id_eval").alias("records"), F.countDistinct("id_train").alias("train_records"), F.count("*").alias("pairs"))
+    assert {tuple(r) for r in split_overlap.overlap_counts(links, members).collect()} == {tuple(r) for r in plain.collect()}
     links, _ = split_overlap.split_overlaps(df.limit(0))
     assert links.count() == 0
 
 
+def test_split_overlap_of_long_texts_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(split_overlap, "LONG", 24)
+    rng = random.Random(27)
+    rows = []
+    for i in range(60):
+        s = sentence(rng, rng.randrange(18, 70)).split()
+        for j in range(3):
+            t = list(s)
+            for _ in range(rng.randrange(0, len(s) // 6 + 1)):
+                k = rng.randrange(len(t))
+                t[k : k + 1] = rng.choice([[], [rng.choice(WORDS)], [rng.choice(WORDS), t[k]]])
+            rows.append((f"r{i:02d}{j}", " ".join(t), None, "train" if j % 2 else "test", "s" if i % 3 else None))
+    df = spark.createDataFrame(rows, "id string, anchor_text string, target_text string, split string, source string")
+    links, members = split_overlap.split_overlaps(df)
+    got = {tuple(r) for r in split_overlap._pairs(links, members).select("id_train", "id_eval").distinct().collect()}
+    words = {r[0]: py_words(r[1]) for r in rows}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[3] == "train" and b[3] == "test" and split_overlap.lcs(words[a[0]], words[b[0]]) * 8 >= 7 * max(len(words[a[0]]), len(words[b[0]]))}
+    assert got == want and 30 < len(want) and min(len(words[a]) for a, _ in want) < 24 < max(len(words[a]) for a, _ in want)
+    assert sum(r.pairs for r in split_overlap.overlap_counts(links, members).collect()) == len(want)
+
+
 def test_split_overlap_of_short_texts_is_brute_force(spark):
     rng = random.Random(17)
     rows = []

@@ -6,8 +6,12 @@ label. The features ask how well each option renders its anchor text: words of t
 (intruders, damaged words), words of the anchor that go with none of the option (omissions), doubled letters. "Goes with" is learned
 from the items themselves: pointwise mutual information of anchor word and option word over all items.
 
-Raters, items and ratings stay distributed: an iteration is two joins and two sums with partial sums first, so one rater with a third
-of all ratings is no hot task. Only the classifier's gradient and curvature (of fixed size) reach the driver.
+What an iteration needs are the raters' matrices and the classifier's weights: posteriors follow from them. So each item is written
+once with its ratings (a rater counts once for an item), and an iteration is one pass over the items with the parameters broadcast,
+without a shuffle of items or ratings: tasks return sums by rater and the classifier's gradient and curvature. It ends when the
+likelihood of an item grows by less than ``SETTLED``. This holds up to ``MAX_RATERS`` raters (16 numbers each); beyond, raters stay
+distributed too, and an iteration is two joins and two sums with partial sums first. Either way one rater with a third of all ratings
+is no hot task.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from varnika.functions.text import plain
 from varnika.session import cut, table, written
 
 CHOICES = ("1", "2", "tie", "both_bad")
-ITERATIONS = 12
+#: Iterations at most, and the growth of the mean log-likelihood of an item at which they end.
+ITERATIONS, SETTLED = 40, 1e-5
+#: Raters whose matrices are broadcast.
+MAX_RATERS = 50_000
 #: A pair of words goes together at this pointwise mutual information (natural logarithm).
 TOGETHER = 1.2
 RIDGE = 1.0
@@ -120,6 +127,78 @@ def _newton(items: DataFrame, w: np.ndarray) -> np.ndarray:
     return w + np.clip(np.linalg.solve(hess, grad), -2, 2).reshape(k, p).T
 
 
+def _softmax(s: np.ndarray) -> np.ndarray:
+    s = np.exp(s - s.max(1, keepdims=True))
+    return s / s.sum(1, keepdims=True)
+
+
+class Parameters:
+    """The raters' confusion matrices and the classifier; None where there are none yet: posteriors are then the smoothed counts."""
+
+    def __init__(self, raters: int) -> None:
+        self.logs: np.ndarray | None = None  # (raters, true, given)
+        self.w = np.zeros((WIDTH + 1, 4))
+        self.raters = raters
+
+    def posteriors(self, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """(posteriors, features, owner, rater and choice of each rating, log-likelihood) of a batch of items."""
+        x = np.stack(b["x"])
+        size = b["r"].map(len).to_numpy()
+        owner = np.repeat(np.arange(len(b)), size)
+        r, c = (np.concatenate([np.asarray(v, dtype=np.int64) for v in b[k]]) for k in "rc")
+        if self.logs is None:
+            given = np.bincount(owner * 4 + c, minlength=4 * len(b)).reshape(-1, 4)
+            return (given + 0.25) / (size[:, None] + 1.0), x, owner, r, c, -np.inf
+        prior = x @ self.w
+        prior -= np.logaddexp.reduce(prior, axis=1, keepdims=True)
+        each = self.logs[r, :, c]
+        like = np.stack([np.bincount(owner, weights=each[:, t], minlength=len(b)) for t in range(4)], axis=1)
+        return _softmax(prior + like), x, owner, r, c, float(np.logaddexp.reduce(prior + like, axis=1).sum())
+
+    def sums(self, batches: Iterator[pd.DataFrame]) -> np.ndarray:
+        """Sums over items: by rater, true and given choice; gradient and curvature of the classifier; log-likelihood; items."""
+        p, k = self.w.shape
+        seen, grad, hess, total = np.zeros(self.raters * 16), np.zeros((k, p)), np.zeros((k, p, k, p)), np.zeros(2)
+        for b in batches:
+            post, x, owner, r, c, like = self.posteriors(b)
+            for t in range(4):
+                seen += np.bincount(r * 16 + t * 4 + c, weights=post[owner, t], minlength=len(seen))
+            s = _softmax(x @ self.w)
+            grad += (x.T @ (post - s)).T
+            for i in range(k):
+                for j in range(k):
+                    hess[i, :, j, :] += (x * (s[:, i] * ((i == j) - s[:, j]))[:, None]).T @ x
+            total += like, len(b)
+        return np.concatenate([seen, grad.ravel(), hess.ravel(), total])
+
+    def updated(self, sums: np.ndarray) -> Parameters:
+        """The parameters after one step: matrices from the sums, one Newton step of the classifier."""
+        n, (p, k) = self.raters * 16, self.w.shape
+        out = Parameters(self.raters)
+        cells = sums[:n].reshape(-1, 4, 4) + np.where(np.eye(4) > 0, DIAGONAL, ELSEWHERE)
+        out.logs = np.log(cells / cells.sum(axis=2, keepdims=True))
+        grad, hess = sums[n : n + p * k] - RIDGE * self.w.T.ravel(), sums[n + p * k : n + p * k + (p * k) ** 2].reshape(p * k, p * k) + RIDGE * np.eye(p * k)
+        out.w = self.w + np.clip(np.linalg.solve(hess, grad), -2, 2).reshape(k, p).T
+        return out
+
+
+def _pass(items: DataFrame, parameters: Parameters) -> np.ndarray:
+    """Parameters.sums() over all items: added up by place, one row per place and task."""
+    shared = items.sparkSession.sparkContext.broadcast(parameters)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = shared.value.sums(batches)
+        at = np.flatnonzero(v)
+        yield pd.DataFrame({"i": at, "v": v[at]})
+
+    n = parameters.raters * 16 + parameters.w.size + parameters.w.size**2 + 2
+    out = np.zeros(n)
+    got = items.select("x", "r", "c").mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    out[got["i"]] = got["v"]
+    shared.unpersist()
+    return out
+
+
 def consensus(ratings: DataFrame, key: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, raters).
 
@@ -133,15 +212,49 @@ def consensus(ratings: DataFrame, key: DataFrame | None = None) -> tuple[DataFra
     ids = ratings.select("item_id").where("item_id is not null")
     if key is not None:
         ids = ids.union(key.select("item_id").where("item_id is not null"))
-    ids = ids.distinct()
-    counts = votes.groupBy("item_id").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in range(4)])
-    n = sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(4)), F.lit(0))
-    start = F.array(*[(F.coalesce(f"n{k}", F.lit(0)) + 0.25) / (n + 1.0) for k in range(4)])
     zero = F.array(*[F.lit(0.0)] * WIDTH, F.lit(1.0))
+    base = ids.distinct()
     if key is None:
-        base = ids.withColumn("x", zero)
+        base = base.withColumn("x", zero)
     else:
-        base = ids.join(_standard(written(item_features(key))), "item_id", "left").withColumn("x", F.coalesce("x", zero))
+        base = base.join(_standard(written(item_features(key))), "item_id", "left").withColumn("x", F.coalesce("x", zero))
+    names = [r.rater_id for r in votes.select("rater_id").distinct().limit(MAX_RATERS + 1).collect()]
+    if len(names) > MAX_RATERS:
+        return _distributed(votes, base)
+    spark = ratings.sparkSession
+    names.sort()
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)))), "rater_id string, r int")
+    ballots = votes.join(F.broadcast(numbers), "rater_id").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("r", "c"))).alias("b"))
+    empty = F.array().cast("array<int>")
+    items = written(base.join(ballots, "item_id", "left").select("item_id", "x", *[F.coalesce(F.col(f"b.{k}"), empty).alias(k) for k in "rc"]))
+    now, before, sums = Parameters(len(names)), -np.inf, None
+    for _ in range(ITERATIONS):
+        sums = _pass(items, now)
+        like = sums[-2] / max(1.0, sums[-1])
+        if np.isfinite(before) and like - before < SETTLED:
+            break
+        now, before = now.updated(sums), like
+    shared = spark.sparkContext.broadcast(now)
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            post, _, owner, _, c, _ = shared.value.posteriors(b)
+            given = np.bincount(owner * 4 + c, minlength=4 * len(b)).reshape(-1, 4)
+            n = given.sum(axis=1)
+            agree = np.where(n > 1, (given * (given - 1)).sum(axis=1) / np.maximum(1, n * (n - 1)), np.nan)
+            yield pd.DataFrame({"item_id": b["item_id"], "choice": np.array(CHOICES)[post.argmax(axis=1)], "confidence": post.max(axis=1), "ratings": n, "agreement": pd.Series(agree).astype(object).where(n > 1, None)})
+
+    out = items.mapInPandas(label, "item_id string, choice string, confidence double, ratings long, agreement double")
+    seen = (sums if sums is not None else np.zeros(0))[: len(names) * 16].reshape(-1, 4, 4)
+    right = [(name, int(round(m.sum())), float(np.trace(m) / max(m.sum(), 1e-300))) for name, m in zip(names, seen)]
+    return out, spark.createDataFrame(right, "rater_id string, ratings long, reliability double")
+
+
+def _distributed(votes: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same with more raters than fit a broadcast: matrices and posteriors are tables, the lineage is cut after each iteration."""
+    counts = votes.groupBy("item_id").agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in range(4)])
+    n = sum((F.coalesce(f"n{k}", F.lit(0)) for k in range(4)), F.lit(0))
+    start = F.array(*[(F.coalesce(f"n{k}", F.lit(0)) + 0.25) / (n + 1.0) for k in range(4)])
     base = written(base.join(counts, "item_id", "left").withColumn("post", start))
     items, w = base, np.zeros((WIDTH + 1, 4))
     fixed = base.drop("post")
@@ -155,7 +268,10 @@ def consensus(ratings: DataFrame, key: DataFrame | None = None) -> tuple[DataFra
         prior = [sum((F.col("x")[i] * float(w[i, t]) for i in range(WIDTH + 1)), F.lit(0.0)) for t in range(4)]
         joined = fixed.join(said, "item_id", "left").select(*fixed.columns, F.array(*[F.coalesce(f"l{t}", F.lit(0.0)) + prior[t] for t in range(4)]).alias("l"))
         joined = joined.withColumn("l", F.expr("transform(l, v -> exp(v - array_max(l)))"))
-        items = cut(joined.select(*fixed.columns, F.expr("transform(l, v -> v / aggregate(l, 0D, (a, b) -> a + b))").alias("post")))
+        last, items = items, cut(joined.select(*fixed.columns, F.expr("transform(l, v -> v / aggregate(l, 0D, (a, b) -> a + b))").alias("post")))
+        moved = items.select("item_id", F.col("post").alias("p")).join(last.select("item_id", "post"), "item_id").agg(F.max(F.expr("aggregate(zip_with(p, post, (a, b) -> abs(a - b)), 0D, (a, b) -> a + b)"))).first()[0]
+        if (moved or 0.0) < 1e-3:
+            break
     best = F.array_position("post", F.array_max("post"))
     pairs = sum((F.coalesce(f"n{k}", F.lit(0)) * (F.coalesce(f"n{k}", F.lit(0)) - 1) for k in range(4)), F.lit(0))
     out = items.select(

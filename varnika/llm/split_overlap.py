@@ -7,7 +7,9 @@ that bound on the weighted dot product.
 
 Inverted lists: the terms of a text in the order rare to frequent; the list stops where the rest of the text's weight (residual)
 plus the weight of its heaviest term (maximum) can no longer reach the bound. Linked texts then share two terms of their lists at
-least, so the lists are kept by *pairs* of terms, which are short even where single terms are frequent. Candidates pass an exact
+least, so the lists are kept by *pairs* of terms, which are short even where single terms are frequent. Lists of long texts (``LONG``
+words) are kept by single terms together with the length on a scale of steps of 8/7: keys then grow with the text, not with its
+square, and linked texts stand on the same step or on neighbouring ones. Candidates pass an exact
 test on a 48-bit parity sketch (each differing word flips one bit), then dot product and word order are computed exactly.
 """
 
@@ -30,6 +32,8 @@ SPREAD = 1.1
 COUNTERS = 1 << 19
 #: Candidate pairs up to which their classes (16 bytes each pair) are broadcast; beyond, the join shuffles.
 SMALL = 500_000
+#: Texts of so many words are kept by single terms and their length: the pairs of their list would grow with its square.
+LONG = 256
 #: Lengths are packed into 16 bits; texts of more words skip the tests on length and sketch and are compared exactly.
 LONGEST = 0xFFFF
 
@@ -147,8 +151,14 @@ def _lists(texts: DataFrame, counts: np.ndarray) -> DataFrame:
         .groupBy("cls", "packed")
         .agg(F.first("terms").alias("terms"), F.bit_or("side").alias("sides"))
     )
+    n = F.col("packed").bitwiseAND(F.lit(LONGEST))
     pairs = F.expr("flatten(transform(terms, (x, i) -> transform(slice(terms, i + 2, size(terms)), y -> xxhash64(x, y))))")
-    return per_class.select("cls", "packed", "sides", F.explode(pairs).alias("key"))
+    none = F.array().cast("array<long>")
+    # linked texts of which the longer one has LONG words or more have 7/8 LONG both; of the others both have fewer than LONG
+    level = F.floor(F.log(n.cast("double")) / math.log(8 / 7) + 1e-9)
+    single = F.flatten(F.transform("terms", lambda x: F.array(F.xxhash64(x, level), F.xxhash64(x, level + 1))))
+    keys = F.concat(F.when(n < LONG, pairs).otherwise(none), F.when(n * 8 >= LONG * 7, single).otherwise(none))
+    return per_class.select("cls", "packed", "sides", F.explode(keys).alias("key"))
 
 
 def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text", "target_text"), id_col: str = "id", split_col: str = "split", source_col: str = "source", train: str = "train", evaluation: tuple[str, ...] = ("validation", "test")) -> tuple[DataFrame, DataFrame]:
@@ -216,6 +226,24 @@ def _pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return links.join(a, "cls_train").join(b, "cls_eval")
 
 
+def overlap_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """split, source, field, records (of that split and source with an overlap), train_records (that they meet), pairs.
+
+    Pairs of records are counted from the sizes of the linked classes and never formed, so a sentence that stands in a third of all
+    records costs no more than another. A record with several texts under one id counts in each of their classes.
+    """
+    own = members.select("id", "split", "source", "field", "cls", "side").distinct()
+    evaluation = own.where("side = 2").groupBy("field", "cls", "split", "source").agg(F.count("*").alias("n_eval")).withColumnRenamed("cls", "cls_eval")
+    train = own.where("side = 1").groupBy("field", "cls").agg(F.count("*").alias("n_train")).withColumnRenamed("cls", "cls_train")
+    # a class is the hash of one text with the number of its field
+    met = links.select("cls_train", "cls_eval").join(evaluation, "cls_eval")
+    records = met.select("field", "cls_eval", "split", "source", "n_eval").distinct().groupBy("split", "source", "field").agg(F.sum("n_eval").alias("records"))
+    classes = met.groupBy("split", "source", "field", "cls_train").agg(F.sum("n_eval").alias("n_eval")).join(train, ["field", "cls_train"])
+    sums = classes.groupBy("split", "source", "field").agg(F.sum("n_train").alias("train_records"), F.sum(F.col("n_eval") * F.col("n_train")).alias("pairs"))
+    # a null source is a group as well
+    return records.join(sums, (records.split == sums.split) & records.source.eqNullSafe(sums.source) & (records.field == sums.field)).select(records.split, records.source, records.field, "records", "train_records", "pairs")
+
+
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """All pairs of a train and a validation or test record with the same or almost the same anchor or target text."""
     links, members = split_overlaps(table(spark, sf_dir, "dataset_records"))
@@ -225,8 +253,7 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 def p7_overlap_counts(spark, sf_dir: str) -> DataFrame:
     """Per evaluation split, its source and text field: the evaluation records with an overlap, the train records they meet, the pairs."""
     links, members = split_overlaps(table(spark, sf_dir, "dataset_records"))
-    pairs = _pairs(links, members).select("split", F.col("source_eval").alias("source"), "field", "id_eval", "id_train").distinct()
-    return pairs.groupBy("split", "source", "field").agg(F.countDistinct("id_eval").alias("records"), F.countDistinct("id_train").alias("train_records"), F.count("*").alias("pairs"))
+    return overlap_counts(links, members)
 
 
 QUERIES = {"p7_found": p7_found, "p7_overlap_counts": p7_overlap_counts}
