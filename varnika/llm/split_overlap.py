@@ -144,19 +144,19 @@ def _lists(texts: DataFrame, counts: np.ndarray) -> DataFrame:
                     left -= heavy[order[k][1] & mask]
                     k += 1
                 firsts.append(np.array([h for _, h in order[:k]], dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"cls": x["cls"], "packed": np.array(packed, dtype=np.uint64).view(np.int64), "terms": firsts, "side": x["side"]})
+            yield pd.DataFrame({"cls": x["cls"], "packed": np.array(packed, dtype=np.uint64).view(np.int64), "terms": firsts, "side": x["side"], "field": x["field"]})
 
     per_class = (
-        texts.mapInPandas(run, "cls long, packed long, terms array<long>, side int")
-        .groupBy("cls", "packed")
+        texts.mapInPandas(run, "cls long, packed long, terms array<long>, side int, field int")
+        .groupBy("cls", "packed", "field")
         .agg(F.first("terms").alias("terms"), F.bit_or("side").alias("sides"))
     )
     n = F.col("packed").bitwiseAND(F.lit(LONGEST))
-    pairs = F.expr("flatten(transform(terms, (x, i) -> transform(slice(terms, i + 2, size(terms)), y -> xxhash64(x, y))))")
+    pairs = F.expr("flatten(transform(terms, (x, i) -> transform(slice(terms, i + 2, size(terms)), y -> xxhash64(field, x, y))))")
     none = F.array().cast("array<long>")
     # linked texts of which the longer one has LONG words or more have 7/8 LONG both; of the others both have fewer than LONG
     level = F.floor(F.log(n.cast("double")) / math.log(8 / 7) + 1e-9)
-    single = F.flatten(F.transform("terms", lambda x: F.array(F.xxhash64(x, level), F.xxhash64(x, level + 1))))
+    single = F.flatten(F.transform("terms", lambda x: F.array(F.xxhash64("field", x, level), F.xxhash64("field", x, level + 1))))
     keys = F.concat(F.when(n < LONG, pairs).otherwise(none), F.when(n * 8 >= LONG * 7, single).otherwise(none))
     return per_class.select("cls", "packed", "sides", F.explode(keys).alias("key"))
 
@@ -174,7 +174,7 @@ def split_overlaps(records: DataFrame, fields: tuple[str, ...] = ("anchor_text",
     counts = _term_counts(rows)
     members = rows.where("side > 0")
     # a text of fewer than seven words can only match exactly; seven of them are seven eighths of eight
-    lists = _lists(members.where("n >= 7").select("cls", "text", "side"), counts)
+    lists = _lists(members.where("n >= 7").select("cls", "text", "side", "field"), counts)
     a = lists.where("sides != 2").select("key", F.col("cls").alias("cls_train"), F.col("packed").alias("p_a"))
     b = lists.where("sides != 1").select("key", F.col("cls").alias("cls_eval"), F.col("packed").alias("p_b"))
     n_a, n_b = (F.col(c).bitwiseAND(F.lit(LONGEST)) for c in ("p_a", "p_b"))
