@@ -415,6 +415,8 @@ def test_spam_pages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, spam int")
     got = {r.doc_id for r in spam_pages.spam_pages(df).where("spam").collect()}
     assert got == {200, 201, 202, 203}
+    short = [(400, "http://a.test/x http://b.test/y www.c.test", "en", 1), (401, "Short note.", "en", 0), (402, "…", "en", 0), (403, "kalan", None, 0)]
+    assert {r.doc_id for r in spam_pages.spam_pages(df.union(spark.createDataFrame(short, df.schema))).where("spam").collect()} == {200, 201, 202, 203, 400}
     assert spam_pages.spam_pages(df.limit(0)).count() == 0
 
 
@@ -428,8 +430,9 @@ def test_spam_pages_script_is_that_of_the_whole_text(spark):
     rows = [(i, (header() if i % 2 else links if i % 4 else "") + page(deva, native, 90), "hi") for i in range(160)]
     rows += [(1000 + i, page(glue, WORDS, 8), "hi") for i in range(14)]
     df = spark.createDataFrame(rows + [(2000, " ".join(rng.choice(WORDS[:20]) + "x" for _ in range(80)), "hi")], "doc_id long, text string, lang string")
-    common = spam_pages._counted(df)
-    assert set(glue) <= common["hi/latin"] and not set(deva) & common["hi/latin"] and set(deva) <= common["hi/other"]
+    common = spam_pages.function_words(spam_pages.read_pages(df))
+    glue_ids, deva_ids = ({spam_pages.word_id(w) for w in ws} for ws in (glue, deva))
+    assert glue_ids <= common["hi/latin"] and not deva_ids & common["hi/latin"] and deva_ids <= common["hi/other"]
     got = {r.doc_id: r for r in spam_pages.spam_pages(df).collect()}
     assert all(got[1000 + i].grp == "hi/latin" and got[1000 + i].sent > 0.5 and not got[1000 + i].spam for i in range(14))
     assert got[2000].spam and not any(got[i].spam for i in range(160))
