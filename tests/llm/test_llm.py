@@ -171,6 +171,9 @@ def test_cut_texts(spark):
     got = {r.record_id: r.cut for r in cut_texts.cut_texts(df).collect()}
     assert {k for k, v in got.items() if v} == {"cut1", "cut2", "cut3"} and len(got) == 309
     assert cut_texts.cut_texts(df.limit(0)).count() == 0
+    # a text of one word is judged like others
+    short = spark.createDataFrame([("t", "one", "m", "is"), ("t", "two", "m", "now")], df.schema)
+    assert {r.record_id: r.cut for r in cut_texts.cut_texts(df.union(short)).where("record_id in ('one', 'two')").collect()} == {"one": True, "two": False}
 
 
 # ---- 5

@@ -12,6 +12,8 @@ One pass explodes the n-grams as 64-bit hashes, summed before the shuffle; only
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from varnika.functions.text import BLANK, INVISIBLE
@@ -23,8 +25,9 @@ PRIOR = 4.0
 TERMINAL = 0.03
 #: A text that ends in a closing mark is cut only if its last word was seen so often elsewhere.
 SEEN = 5
-#: Letters and digits that a text must have; shorter ones are placeholders.
-LEAST = 6
+# What stands for a missing text, without white space and marks.
+PLACEHOLDERS = ("", "na", "nan", "null", "none", "nil", "empty", "undefined")
+_NO_TEXT = ", ".join(f"'{x}'" for x in PLACEHOLDERS)
 
 
 def _tokens(text: str) -> str:
@@ -49,7 +52,7 @@ def _grams(last: str) -> str:
 def cut_texts(texts: DataFrame) -> DataFrame:
     """texts: table_name, record_id, model, text. Returns them with end_share (how often such last words are terminal) and cut (boolean).
 
-    A null or blank text, one of a thinking block only and one without words is not cut and has no end_share. Equal rows count once
+    A null or blank text, a placeholder, one of a thinking block only and one without words is not cut and has no end_share. Equal rows count once
     each (a text repeated under several ids is counted as often). Texts of any length are read whole. An empty table gives no rows.
     """
     spark = texts.sparkSession
@@ -58,22 +61,23 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("t", F.expr(f"if(ok, {_tokens('text')}, array())"))
     # the end of the text itself: marks after the last word say nothing, whatever they are, but a comma
     strip = "slice(t, 1, size(t) - coalesce(array_position(transform(reverse(t), x -> x <> '¶'), true) - 1, 0))"
-    rows = rows.withColumn("t", F.expr(strip)).withColumn("t", F.expr(f"if(length(regexp_replace(concat_ws('', t), '[¶,]', '')) >= {LEAST}, concat(array('¶', '¶'), t), array())"))
+    rows = rows.withColumn("t", F.expr(strip)).withColumn("t", F.expr(f"if(regexp_replace(concat_ws('', t), '[¶,]', '') NOT IN ({_NO_TEXT}), concat(array('¶', '¶'), t), array())"))
     rows = written(rows.drop("text", "ok"))
-    rows.createOrReplaceTempView("varnika_cut_rows")
+    name = f"varnika_cut_{uuid.uuid4().hex}"  # two calls in one session don't meet
+    rows.createOrReplaceTempView(f"{name}_rows")
     spark.sql(
         f"""
         SELECT g, count(*) AS n, count_if(is_end) AS ends FROM (
           SELECT explode({_grams('i')}) AS g, coalesce(get(t, i + 1) = '¶', true) AS is_end
-          FROM (SELECT t, explode(sequence(2, size(t) - if(closed, 1, 2))) AS i FROM varnika_cut_rows WHERE size(t) > 3)
+          FROM (SELECT t, explode(sequence(2, size(t) - if(closed, 1, 2))) AS i FROM {name}_rows WHERE size(t) > 3)
           WHERE get(t, i) <> '¶')
         GROUP BY g"""
-    ).createOrReplaceTempView("varnika_cut_grams")
+    ).createOrReplaceTempView(f"{name}_grams")
     ends = spark.sql(
         f"""
         SELECT e.table_name, e.record_id, e.model, e.closed, e.pos, e.w, coalesce(g.n, 0) - e.own AS n, coalesce(g.ends, 0) - e.own AS ends
-        FROM (SELECT table_name, record_id, model, closed, if(closed AND size(t) > 3, 1, 0) AS own, get(t, size(t) - 1) AS w, posexplode({_grams('(size(t) - 1)')}) AS (pos, g) FROM varnika_cut_rows WHERE size(t) > 2) e
-        LEFT JOIN varnika_cut_grams g ON e.g = g.g"""
+        FROM (SELECT table_name, record_id, model, closed, if(closed AND size(t) > 3, 1, 0) AS own, get(t, size(t) - 1) AS w, posexplode({_grams('(size(t) - 1)')}) AS (pos, g) FROM {name}_rows WHERE size(t) > 2) e
+        LEFT JOIN {name}_grams g ON e.g = g.g"""
     )
     by = ends.groupBy("table_name", "record_id", "model").agg(
         F.max("w").alias("w"), F.max("closed").alias("closed"), *[F.max(F.when(F.col("pos") == k, F.col(c))).alias(f"{c}{3 - k}") for k in range(4) for c in ("n", "ends")]
@@ -123,7 +127,7 @@ _CUT_SQL = rf"""x AS (SELECT DISTINCT 'experiment_evon_results' AS table_name, r
 y AS (SELECT *, text IS NOT NULL AND NOT regexp_matches(text, '{_BLANK_SQL}') AS ok, coalesce(regexp_matches(text, '(?:^|[^.…])[।.?!]["»”’'')\]\s]*$'), false) AS closed FROM x),
 t0 AS (SELECT *, CASE WHEN ok THEN {_tokens_sql()} ELSE [] END AS t FROM y),
 t1 AS (SELECT *, t[1:len(t) - coalesce(list_position(list_transform(list_reverse(t), lambda z: z <> '¶'), true) - 1, 0)] AS u FROM t0),
-t2 AS (SELECT table_name, record_id, model, closed, row_number() OVER () AS k, CASE WHEN length(regexp_replace(array_to_string(u, ''), '[¶,]', '', 'g')) >= {LEAST} THEN list_concat(['¶', '¶'], u) ELSE [] END AS t FROM t1),
+t2 AS (SELECT table_name, record_id, model, closed, row_number() OVER () AS k, CASE WHEN regexp_replace(array_to_string(u, ''), '[¶,]', '', 'g') NOT IN ({_NO_TEXT}) THEN list_concat(['¶', '¶'], u) ELSE [] END AS t FROM t1),
 p AS (SELECT k, closed, i, len(t) AS n, t[i] AS w0, t[i - 1] AS w1, t[i - 2] AS w2, coalesce(t[i + 1] = '¶', true) AS is_end FROM (SELECT *, unnest(range(3, len(t) + 1)) AS i FROM t2 WHERE len(t) > 2)),
 c AS (SELECT * FROM p WHERE w0 <> '¶' AND (i < n OR closed) AND n > 3),
 """ + ",\n".join(f"g{k} AS (SELECT {e} AS g, count(*) AS n, count(*) FILTER (is_end) AS ends FROM c GROUP BY 1)" for k, e in _KEYS_SQL.items()) + ",\n" + "l AS (SELECT p.k, p.w0, p.closed, " + ", ".join(f"coalesce(g{k}.n, 0) - own AS n{k}, coalesce(g{k}.ends, 0) - own AS e{k}" for k in _KEYS_SQL) + " FROM (SELECT *, CASE WHEN closed AND n > 3 THEN 1 ELSE 0 END AS own FROM p WHERE i = n) p " + " ".join(f"LEFT JOIN g{k} ON g{k}.g = {e}" for k, e in _KEYS_SQL.items()) + rf"""),
