@@ -193,6 +193,26 @@ def test_grouped_splits(spark):
     assert grouped_splits.quotas(10, (0.8, 0.1, 0.1)) == [8, 1, 1]
 
 
+def test_grouped_by_speaker_and_source(spark):
+    rows = [("1", "spk1", "a"), ("2", "spk01", "B"), ("3", "x2", "b "), ("4", "3", "c"), ("5", None, "c"), ("6", "4", None), ("7", None, " "), ("8", "s-4", ""), ("9", None, "d"), (None, "1", "e")]
+    df = spark.createDataFrame([(*r, "bho", "train") for r in rows], "id string, speaker_id string, source string, target_language string, split string")
+    got = {r.id: r.component for r in grouped_splits.grouped_splits(df, "both").collect()}
+    groups = {}
+    for k, c in got.items():
+        groups.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == [["1", "2", "3"], ["4", "5"], ["6", "8"], ["7"], ["9"]]
+    with pytest.raises(ValueError):
+        grouped_splits.components(df, "nobody")
+
+
+def test_quotas_of_one_large_group():
+    def records(bundles):
+        got = grouped_splits.allocate(bundles)
+        return [sum(size * got[size, label, now][k] for size, label, now, _ in bundles) for k in range(3)]
+
+    assert records([(850, "a", None, 1), (1, "a", None, 150)]) == records([(850, "a", None, 1), (1, "b", None, 150)]) == [850, 75, 75]
+
+
 def test_leftover_components_keep_to_the_quotas():
     def records(bundles):
         got = grouped_splits.allocate(bundles)

@@ -5,7 +5,8 @@ frequent target language and the split in which most of their records lie now) a
 records have at most sqrt(2 N) different sizes and the bundles stay few. A flow of records from the bundles through (language, split)
 to the splits is sought at minimum cost: a record that changes its split costs a little, a deviation from a quota of a language more,
 one from a quota of the whole most. Bundles that differ in size only have parallel arcs of equal cost, so the flow is solved on their
-sums, exactly. It is rounded to whole components from the largest size down, and a bundle's components are assigned in the order of
+sums, exactly. Components larger than the smallest quota, a few at most, are placed before, and what they leave of the quotas are the
+shares that the flow keeps for all others. It is rounded to whole components from the largest size down, and a bundle's components are assigned in the order of
 their hash: each one's rank comes from counts by hash range, so no bundle has to be sorted as a whole.
 """
 
@@ -16,6 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from varnika.operators.splits import connected_components
 from varnika.session import table, written
 
 SPLITS = ("train", "validation", "test")
@@ -36,7 +38,7 @@ def speaker_number(c: Column) -> Column:
 def components(records: DataFrame, by: str = "speaker") -> DataFrame:
     """A row per component: component, n (records), label (most frequent language), now (split that holds most), splits (how many).
 
-    by: speaker or source. A record whose key is null or blank is a component of its own (its id). Repeated rows count once; records
+    by: speaker, source, or both: then records that share either are linked, and so are those linked with these. A record whose key is null or blank is a component of its own (its id). Repeated rows count once; records
     without id are ignored; split and language may be null. An empty table gives no rows.
     """
     rows = _keyed(records, by)
@@ -48,12 +50,26 @@ def components(records: DataFrame, by: str = "speaker") -> DataFrame:
 
 
 def _keyed(records: DataFrame, by: str) -> DataFrame:
-    key = speaker_number(F.col("speaker_id")).cast("string") if by == "speaker" else F.nullif(F.lower(F.trim("source")), F.lit(""))
+    """id, component, lang, split of each record, once."""
+    speaker = F.concat(F.lit("k:"), speaker_number(F.col("speaker_id")).cast("string"))
+    source = F.concat(F.lit("k:"), F.nullif(F.lower(F.trim("source")), F.lit("")))
+    if by not in ("speaker", "source", "both"):
+        raise ValueError(f"no grouping: {by}")
+    key = source if by == "source" else speaker
     split = F.lower(F.trim("split"))
     lang = F.regexp_extract(F.lower(F.trim("target_language")), "^([a-z]+)", 1)
+    rows = records.where("id is not null")
+    if by == "both":
+        rows = rows.withColumns({"__a": F.concat(F.lit("speaker"), speaker), "__b": F.concat(F.lit("source"), source)})
+        nodes = connected_components(rows.where("__a is not null and __b is not null").select(F.col("__a").alias("a"), F.col("__b").alias("b")).distinct())
+        few = nodes.count() <= FEW
+        for c in ("__a", "__b"):
+            own = nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
+            rows = rows.join(F.broadcast(own) if few else own, c, "left")
+        # a speaker or source without edges is a component of its own
+        key = F.concat(F.lit("k:"), F.coalesce("__ac", "__bc", "__a", "__b"))
     return (
-        records.where("id is not null")
-        .select("id", F.coalesce(F.concat(F.lit("k:"), key), F.concat(F.lit("r:"), "id")).alias("component"), F.coalesce(lang, F.lit("")).alias("lang"), F.when(split.isin(*SPLITS), split).alias("split"))
+        rows.select("id", F.coalesce(key, F.concat(F.lit("r:"), "id")).alias("component"), F.coalesce(lang, F.lit("")).alias("lang"), F.when(split.isin(*SPLITS), split).alias("split"))
         .groupBy("id")
         .agg(F.min("component").alias("component"), F.min("lang").alias("lang"), F.min("split").alias("split"))
     )
@@ -110,7 +126,22 @@ def quotas(total: int, shares: tuple[float, ...]) -> list[int]:
 
 def allocate(bundles: list[tuple[int, str, str | None, int]], shares: tuple[float, ...] = SHARES) -> dict[tuple[int, str, str | None], list[int]]:
     """bundles: size, label, present split, number of components. How many components of each bundle go to each split."""
-    supply: dict = defaultdict(int)
+    every = sum(size * n for size, _, _, n in bundles)
+    whole, out, small = quotas(every, shares), {}, []
+    least = min((q for q, s in zip(whole, shares) if s > 0), default=0)
+    for size, label, now, n in sorted(bundles, key=lambda b: (-b[0], b[1], b[2] or "")):
+        if size <= least:
+            small.append((size, label, now, n))
+            continue
+        take = [0] * len(SPLITS)
+        for _ in range(n):  # larger than the smallest quota: there are only a few of them
+            take[max(range(len(SPLITS)), key=lambda k: (whole[k] - take[k] * size, -k))] += 1
+        whole = [w - t * size for w, t in zip(whole, take)]
+        out[size, label, now] = take
+    # what these leave of the quotas are the shares of all others
+    room = [max(0, w) for w in whole]
+    shares = tuple(r / sum(room) for r in room) if sum(room) else shares
+    bundles, supply = small, defaultdict(int)
     for size, label, now, n in bundles:
         supply[label, now] += size * n
     total = sum(supply.values())
@@ -129,7 +160,6 @@ def allocate(bundles: list[tuple[int, str, str | None, int]], shares: tuple[floa
     flow.run("source", "sink")
     left = {key: [flow.cap[arcs[(*key, k)] ^ 1] for k in range(len(SPLITS))] for key in supply}
     whole = quotas(total, shares)
-    out = {}
     for size, label, now, n in sorted(bundles, key=lambda b: (-b[0], b[1], b[2] or "")):
         room, take = left[label, now], [0] * len(SPLITS)
         for k in range(len(SPLITS)):
@@ -188,7 +218,13 @@ def p5_splits_by_source(spark, sf_dir: str) -> DataFrame:
     return grouped_splits(table(spark, sf_dir, "dataset_records"), "source")
 
 
-QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_splits_by_source": p5_splits_by_source}
+def p5_split_shares(spark, sf_dir: str) -> DataFrame:
+    """What the new splits hold: records, their share, and the largest group in each."""
+    per = grouped_splits(table(spark, sf_dir, "dataset_records")).groupBy("split", "component").agg(F.count("*").alias("n")).groupBy("split").agg(F.sum("n").alias("records"), F.count("*").alias("groups"), F.max("n").alias("largest"))
+    return per.crossJoin(F.broadcast(per.agg(F.sum("records").alias("every")))).select("split", "records", "groups", "largest", (F.col("records") / F.col("every")).alias("share"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_splits": p5_splits, "p5_splits_by_source": p5_splits_by_source, "p5_split_shares": p5_split_shares}
 SQL = {
     "p5_found": """
 SELECT TRY_CAST(nullif(regexp_extract(speaker_id, '([0-9]+)[^0-9]*$', 1), '') AS BIGINT) AS speaker_no
