@@ -193,6 +193,44 @@ def test_context(spark):
     assert [m.text for m in last][:2] == ["q4", "a4"] and len(last) == 10
 
 
+def test_blocks_of_a_long_conversation(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("c", n, f"w{rng.randrange(9)} w{rng.randrange(9)}", f"a{n}", rng.random() < 0.8) for n in rng.sample(range(1, 200), 60)] + [("d", 1, "w1", "a", None)]
+    df = spark.createDataFrame(rows, "conv string, turn int, text string, reply string, understood boolean")
+    forms = spark.createDataFrame([("w1", False), ("w2", False), ("w3", True)], "word string, shared boolean")
+    words = F.split("text", " ")
+
+    def got():
+        c = {(r.conv, r.turn): [m.text for m in r.context] for r in turns.with_context(df).collect()}
+        p = {(r.conv, r.turn): (r.forms, r.evidence) for r in turns.pooled_evidence(df, forms, words).collect()}
+        return c, p
+
+    plain = got()
+    monkeypatch.setattr(turns, "BLOCK", 4)
+    assert got() == plain
+    order = sorted(r for r in rows if r[0] == "c")
+    want = {("c", r[1]): [x for q in order[max(0, i - 6) : i] if q[4] for x in (q[2], q[3])] for i, r in enumerate(order)} | {("d", 1): []}
+    assert plain[0] == want
+    numbered = {r.turn: r.position for r in turns.positions(df.where("conv = 'c'"), "conv", ["turn"], F.floor(F.col("turn") / 4)).collect()}
+    assert numbered == {r[1]: i for i, r in enumerate(order, 1)}
+
+
+def test_event_stream_is_the_batch_sum(spark, tmp_path):
+    from varnika.streaming import events as E
+
+    src = tmp_path / "in"
+    rng = random.Random(9)
+    rows = [(f"2025-03-{rng.randrange(1, 20):02d} {rng.randrange(24):02d}:00:00", rng.choice("ab"), float(rng.randrange(5))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string, event_type string, value double").select(F.col("t").cast("timestamp").alias("ts"), "event_type", "value")
+    df.repartition(5).write.parquet(str(src))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(src))
+    out = E.run_once(E.outcome_summary(stream), str(tmp_path / "o"), str(tmp_path / "k"), "update", ["window", "event_type"])
+    want = {(r.day, r.event_type): (r.n, r.value) for r in df.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).collect()}
+    assert {(str(r.window.start)[:10], r.event_type): (r.n, r.value) for r in out.collect()} == want
+    gone = {r.conv for r in E.evicted(spark.createDataFrame([(f"c{i}", i % 3 == 0, i) for i in range(9)], "conv string, ended boolean, last int"), 4).collect()}
+    assert gone == {"c0", "c3", "c6", "c1", "c2"}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿id,t\n1,"x\ny"\n', encoding="utf-8")
     (tmp_path / "b.jsonl").write_text('{"id": 1}\n\n{"id": 2}\n')
@@ -225,12 +263,12 @@ def test_stream(spark, tmp_path):
     from varnika.streaming import events as E
 
     src = tmp_path / "in"
-    rows = [("c", n, True, n == 3) for n in (1, 2, 3, 4)]
+    rows = [("c", n, True, n == 3) for n in (4, 1, 3, 2, 2, 41)]
     spark.createDataFrame(rows, "conv string, turn int, understood boolean, end boolean").coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("conv string, turn int, understood boolean, end boolean").parquet(str(src))
     E.run_once(E.follow_conversations(stream, idle=False), str(tmp_path / "o"), str(tmp_path / "k"))
     got = {r.turn: (r.turns, r.context, r.dropped) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == {1: (1, 0, False), 2: (2, 1, False), 3: (3, 2, False), 4: (3, 0, True)}
+    assert got == {1: (1, 0, False), 2: (2, 1, False), 3: (3, 2, False), 4: (3, 0, True), 41: (40, 0, True)}
 
 
 def test_similarity_of_sources_has_words_of_any_length(spark, tmp_path):

@@ -623,8 +623,7 @@ SELECT conv, turn, coalesce(len(past), 0) * 2 AS messages, md5(coalesce(array_to
 @query
 def w4_positions(spark, sf):
     """Turns numbered in the order in which they were written."""
-    w = W.partitionBy("conversation_id").orderBy("created", "id")
-    return reviews(spark, sf).select("id", F.row_number().over(w).alias("position"))
+    return turns.positions(reviews(spark, sf).select("id", "conversation_id", "created"), "conversation_id", ["created", "id"], F.date_trunc("hour", "created")).select("id", "position")
 
 
 S["w4_positions"] = f"WITH {REVIEWS} SELECT id, row_number() OVER (PARTITION BY conversation_id ORDER BY created, id) AS position FROM b"
@@ -638,6 +637,17 @@ def w11_pooled_evidence(spark, sf):
     return turns.pooled_evidence(t, forms, X.devanagari_words("text")).groupBy("enough").agg(F.count("*").alias("turns"), F.sum("forms").alias("forms"))
 
 
+S["w11_pooled_evidence"] = f"""WITH {_COUNTS}, a AS (SELECT word, sum(n) AS all_n FROM c GROUP BY 1), y AS (SELECT count(*) AS v, sum(all_n) AS everything FROM a),
+q AS (SELECT variety, word, n, all_n - n AS rest, ln(((n + 1.0::DOUBLE) / (total + 1.0::DOUBLE * v)) / ((all_n - n + 1.0::DOUBLE) / (everything - total + 1.0::DOUBLE * v))) AS odds FROM c JOIN a USING (word) JOIN vt USING (variety), y WHERE n >= 3),
+f AS (SELECT variety, word, round(odds / sqrt(1.0::DOUBLE / (n + 1) + 1.0::DOUBLE / (rest + 1)), 1) AS z FROM q), o AS (SELECT *, row_number() OVER (PARTITION BY variety ORDER BY z DESC, word) AS position FROM f QUALIFY position <= 40),
+l AS (SELECT word, count(*) > 1 AS shared FROM o WHERE z >= 5 GROUP BY 1), {_TURNS},
+u AS (SELECT conv, turn, text, row_number() OVER (PARTITION BY conv ORDER BY turn) AS pos FROM t WHERE text IS NOT NULL),
+h AS (SELECT DISTINCT conv, pos, word, shared FROM (SELECT conv, pos, unnest({WORDS_SQL.format('text')}) AS word FROM u) JOIN l USING (word)),
+e AS (SELECT u.conv, u.turn, h.word, shared FROM u JOIN h ON u.conv = h.conv AND h.pos BETWEEN u.pos - 6 AND u.pos GROUP BY ALL),
+p AS (SELECT conv, turn, count(*) FILTER (NOT shared) AS forms FROM e GROUP BY ALL)
+SELECT forms >= 2 AS enough, count(*) AS turns, sum(forms) AS forms FROM p GROUP BY 1"""
+
+
 @query
 def j9_prompts(spark, sf):
     """Prompts of nested examples for each held-out record."""
@@ -688,9 +698,13 @@ S["w6_running_totals"] = "SELECT event_id, user_id, coalesce(count(*) OVER w, 0)
 
 @query
 def a43_json_object(spark, sf):
-    """Per conversation its turns as one JSON object per number of turns."""
-    t = _turns(spark, sf).groupBy("conv").agg(F.count("*").alias("turns"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("string"), F.col("understood"))))).alias("m"))
-    return t.select("conv", "turns", F.to_json("m").alias("understood"))
+    """Per conversation and 256 numbers its turns as one JSON object (A43): an object is never larger, however long the conversation."""
+    part = F.floor(F.col("turn") / 256)
+    t = _turns(spark, sf).where("conv is not null and turn is not null").groupBy("conv", part.alias("part")).agg(F.count("*").alias("turns"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("turn").cast("string"), F.col("understood"))))).alias("m"))
+    return t.select("conv", "part", "turns", F.to_json("m").alias("understood"))
+
+
+S["a43_json_object"] = f"""WITH {_TURNS} SELECT conv, turn // 256 AS part, count(*) AS turns, '{{' || string_agg('"' || turn::VARCHAR || '":' || coalesce(understood::VARCHAR, 'null'), ',' ORDER BY turn::VARCHAR) || '}}' AS understood FROM t WHERE conv IS NOT NULL AND turn IS NOT NULL GROUP BY ALL"""
 
 
 @query
