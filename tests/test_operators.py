@@ -165,6 +165,16 @@ def test_markers_and_similarity(spark):
     assert s["x", "z"].shared == 0 and s["x", "z"].verdict == "UNSUPPORTED"
 
 
+def test_consequences_families_and_names(spark):
+    df = spark.createDataFrame([("है", "बा"), ("ओ", "वह"), ("घर", "खेत"), ("घर", "घर"), ("गाँव", "गांव")], "x string, y string")
+    assert [r.k for r in df.select(X.consequence("x", "y").alias("k")).collect()] == ["can_live", "ambiguous_source", "needs_fixing", None, None]
+    p = spark.createDataFrame([("a", "b", "a", 0.9), ("a", "c", "c", 0.5), (None, "a", "b", 0.1)], "true string, pred string, second string, p double")
+    got = evaluation.accuracy(p, {"a": "f", "b": "f"}).first()
+    assert (got.n, got.accuracy, got.top2, got.family) == (3, 0, pytest.approx(1 / 3), pytest.approx(1 / 3))
+    n = spark.createDataFrame([("Awadhi", "It is Awadhi."), ("Awadhi", "Hindi"), ("Hindi", "urdu"), ("Awadhi", None)], "truth string, detected string")
+    assert {r.truth: (r.n, r.exact, r.fallback, r.wrong) for r in evaluation.named_language(n).collect()} == {"Awadhi": (3, 1, 1, 1), "Hindi": (1, 0, 0, 1)}
+
+
 def test_wilson(spark):
     fates = spark.createDataFrame([("w", "UNCHANGED")] * 110 + [("w", "x")] * 2 + [("d", "DELETED")] * 60 + [("s", "y")], "word string, fate string")
     got = {r.word: r for r in evaluation.wilson_gate(fates).collect()}
@@ -179,6 +189,15 @@ def test_routing(spark):
     assert label("रउआ कहाँ जात बानी आज").labels == ["bhojpuri_candidate"]
     assert label("हम भोजपुरी में एगो बात कहब").rule == "one_marker_and_speaker_names_bhojpuri"
     assert label("हम एगो बात कहब आज").labels == ["related_variety_uncertain"]
+    assert label("हम एगो बात कहब आज").rule == routing.RULES["one"] and label("हम भोजपुरी में बात कहब").rule == routing.RULES["name"]
+    df = spark.createDataFrame([(1, "हम भोजपुरी में एगो बात कहब"), (2, "यह एक बात है आज"), (3, "मैं कभी कभी रउआ हमनी")], "id int, t string")
+    given = spark.createDataFrame([(2, "bundeli"), (2, "hindi"), (1, None)], "id int, supports string")
+    hedged = {r.id: r.parts for r in routing.propose(df, "id", "t", F.lit(True), supplied=given).collect()}
+    assert [tuple(p) for p in hedged[1]] == [("related_variety_uncertain", routing.RULES["hedged"])]
+    assert [tuple(p) for p in hedged[2]] == [("bundeli_candidate", "externally_supplied_evidence")]
+    got = {r.id: r for r in routing.labelled(df, "id", "t", F.lit("hi-IN")).collect()}
+    assert got[3].mixed and got[3].summary == "Mixed: Hindi | Likely Bhojpuri; recognized using Hindi mode." and got[3].matches_route
+    assert got[2].parts[0].rule == routing.RULES["none"] and not got[2].mixed
     assert label("मैं कभी कभी घर जाता").labels == ["hindi"]
     assert label("रउआ हमनी मैं कभी").labels == ["hindi", "bhojpuri_candidate"]
     assert label("hello my friend there").labels == label(None).labels == ["other_or_insufficient"]

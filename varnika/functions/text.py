@@ -116,6 +116,33 @@ def pair_class(x: Column | str, y: Column | str) -> Column:
     return F.when(F.levenshtein(phonetic_form(x), phonetic_form(y)) <= 1, "IGNORE").when(raw >= 0.5, "WRONG").otherwise("UNSURE")
 
 
+# Words that do the same work, whatever their form: copulas, near and far demonstratives, here and there, progressive
+# endings, and, negation, possessives, yes, in, also, one, and spellings of single words.
+SAME_WORK = (
+    "है हैं हे हेय हई छे छीये बा बाटे हल हो व वा च छिये ए", "ये यह इ ई एहा", "वह वो", "यहाँ यहां इहा", "वहाँ वहां", "रही रहे रहा रहीं रो रहियो रेहो रियो रिया रा",
+    "और अउ अऊ अ", "नहीं नई नी ने", "का की के", "हाँ हां ह", "में म मा", "भी बि", "एक एगो एको", "गई गयी", "हुआ हुवा", "सीसा शीशा", "बहार बाहर", "आवो आओ", "बोडो बड़ा", "हवय हवे हावय", "भौत भोत बोहोत बहुत",
+)
+#: Words that keep or change the meaning, as the case may be.
+EITHER = ("ओ", "एगो")
+
+
+def same_work(x: Column | str, y: Column | str) -> Column:
+    """Whether both words stand in one group of SAME_WORK."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    out = F.lit(False)
+    for group in SAME_WORK:
+        words = group.split()
+        out = out | (x.isin(words) & y.isin(words))
+    return out
+
+
+def consequence(x: Column | str, y: Column | str) -> Column:
+    """What it means that a word x became y: for words that differ much (WRONG) can_live (same work), ambiguous_source or needs_fixing; else null."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    kind = F.when(x.isin(*EITHER), "ambiguous_source").when(same_work(x, y), "can_live").otherwise("needs_fixing")
+    return F.when((x != y) & (pair_class(x, y) == "WRONG"), kind)
+
+
 def script_class(c: Column | str) -> Column:
     """devanagari, latin, mixed, other or empty."""
     c = F.col(c) if isinstance(c, str) else c

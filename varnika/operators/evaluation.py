@@ -15,10 +15,19 @@ def _right() -> Column:
     return F.coalesce(F.col("true") == F.col("pred"), F.lit(False))
 
 
-def accuracy(df: DataFrame) -> DataFrame:
-    """n, accuracy, top2 (true is pred or second)."""
-    top2 = _right() | F.coalesce(F.col("true") == F.col("second"), F.lit(False)) if "second" in df.columns else _right()
-    return df.agg(F.count("*").alias("n"), F.avg(_right().cast("double")).alias("accuracy"), F.avg(top2.cast("double")).alias("top2"))
+def _top2(df: DataFrame) -> Column:
+    return _right() | F.coalesce(F.col("true") == F.col("second"), F.lit(False)) if "second" in df.columns else _right()
+
+
+def _family(families: dict[str, str] | None) -> Column:
+    """Whether true and pred are of one family; a label without family is its own."""
+    name = lambda c: F.coalesce(F.create_map(*[F.lit(x) for kv in families.items() for x in kv])[F.col(c)], F.col(c)) if families else F.col(c)
+    return F.coalesce(name("true") == name("pred"), F.lit(False))
+
+
+def accuracy(df: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """n, accuracy, top2 (true is pred or second), family (true and pred are of one family)."""
+    return df.agg(F.count("*").alias("n"), *[F.avg(c.cast("double")).alias(n) for n, c in (("accuracy", _right()), ("top2", _top2(df)), ("family", _family(families)))])
 
 
 def calibration_bins(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -75,9 +84,9 @@ def class_report(df: DataFrame) -> DataFrame:
     return per.select("label", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"), F.col("t").alias("support"))
 
 
-def class_summary(df: DataFrame) -> DataFrame:
-    """Per true label: n, recall, mean confidence when right and when wrong."""
-    return df.groupBy("true").agg(F.count("*").alias("n"), F.avg(_right().cast("double")).alias("recall"), F.avg(F.when(_right(), F.col("p"))).alias("confidence_right"), F.avg(F.when(~_right(), F.col("p"))).alias("confidence_wrong"))
+def class_summary(df: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """Per true label: n, recall, top2, family, mean confidence when right and when wrong."""
+    return df.groupBy("true").agg(F.count("*").alias("n"), F.avg(_right().cast("double")).alias("recall"), F.avg(_top2(df).cast("double")).alias("top2"), F.avg(_family(families).cast("double")).alias("family"), F.avg(F.when(_right(), F.col("p"))).alias("confidence_right"), F.avg(F.when(~_right(), F.col("p"))).alias("confidence_wrong"))
 
 
 def balanced_recall(df: DataFrame) -> DataFrame:
@@ -120,3 +129,12 @@ def wilson_gate(fates: DataFrame) -> DataFrame:
     bound = wilson_lower(F.col("top").cast("double"), F.col("places").cast("double"))
     kind = F.when(F.col("places") < 50, "INSUFFICIENT").when(F.col("fate") == "DELETED", "AMBIGUOUS").when((bound >= 0.75) & (F.col("places") >= 100), "SAFE_AUTOCORRECT").when(bound >= 0.70, "SAFE_CANDIDATE").otherwise("AMBIGUOUS")
     return total.join(per, "word").select("word", "places", "outcomes", "fate", "top", bound.alias("bound"), kind.alias("class"), "entropy")
+
+
+def named_language(df: DataFrame, fallback: str = "hindi", exempt: tuple[str, ...] = ("hindi", "english")) -> DataFrame:
+    """df: truth (name of a language), detected (what an answer calls it). Per truth: n, exact (the name stands in it), fallback (the
+    common language is named instead, for a truth that isn't exempt), wrong (all else, nulls too)."""
+    told, truth = F.lower(F.trim(F.coalesce("detected", F.lit("")))), F.lower("truth")
+    exact = F.contains(told, truth)
+    common = ~exact & F.contains(told, F.lit(fallback)) & ~truth.isin(*exempt)
+    return df.groupBy("truth").agg(F.count("*").alias("n"), F.count_if(exact).alias("exact"), F.count_if(common).alias("fallback"), F.count_if(~exact & ~common).alias("wrong"))

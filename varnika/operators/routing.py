@@ -25,6 +25,19 @@ HINDI_PHRASES = (("रहे", "हैं"), ("रहा", "है"), ("रह
 HINDI_FUTURE = "ेंगे$"
 NAMES = {"भोजपुरी": "bhojpuri", "हिंदी": "hindi"}
 HEDGES = ("related dialect", "closely related", "or a related")
+# Names of rules as they are reported.
+RULES = {
+    "thin": "too_few_words_or_not_devanagari",
+    "two": "two_or_more_distinct_markers",
+    "named": "one_marker_and_speaker_names_bhojpuri",
+    "hedged": "one_marker_and_speaker_names_bhojpuri_but_saved_assessment_hedges",
+    "one": "one_marker_without_speaker_naming_bhojpuri",
+    "name": "speaker_names_bhojpuri_but_no_variety_specific_form_recognized",
+    "hindi": "two_or_more_distinct_hindi_markers",
+    "hindi_named": "one_hindi_marker_and_speaker_names_hindi",
+    "supplied": "externally_supplied_evidence",
+    "none": "devanagari_text_without_variety_specific_evidence",
+}
 LEAST_WORDS = 4
 CONTEXT = 3
 
@@ -83,12 +96,14 @@ def hedges(*fields: Column) -> Column:
     return out
 
 
-def propose(texts: DataFrame, row_id: str, text: str, hedged: Column | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """row_id, labels (array, Hindi first), rule (of the eastern side, or why there is no label).
+def propose(texts: DataFrame, row_id: str, text: str, hedged: Column | None = None, extra: tuple[str, ...] = (), supplied: DataFrame | None = None) -> DataFrame:
+    """row_id, labels (array, Hindi first), rule (of the first part that isn't Hindi, or of Hindi), parts (array of label and rule).
 
-    Fewer than four words or mostly no Devanagari: other_or_insufficient. Two different eastern forms: bhojpuri_candidate; one and the
-    speaker names Bhojpuri: the same, or related_variety_uncertain if hedged; one alone or the name alone: uncertain. Two Hindi forms,
-    or one and the name Hindi: hindi beside it. Nothing found: uncertain. A null text has no words.
+    Fewer than four words or mostly no Devanagari: other_or_insufficient, whatever is supplied. Two different eastern forms:
+    bhojpuri_candidate; one and the speaker names Bhojpuri: the same, or related_variety_uncertain if hedged; one alone or the name
+    alone: uncertain. Two Hindi forms, or one and the name Hindi: hindi beside it. supplied (row_id, supports): evidence from outside;
+    a name in it other than these two languages is a candidate of its own, in the order of names. Nothing at all: uncertain. A null
+    text has no words.
     """
     base = texts.select(row_id, tokens_with_places(text).alias("k"), F.coalesce(hedged if hedged is not None else F.lit(False), F.lit(False)).alias("hedged"))
     base = base.select(row_id, "hedged", F.size("k").alias("n"), F.size(F.filter("k", lambda x: x["t"].rlike("[ऀ-ॿ]"))).alias("d"))
@@ -100,21 +115,28 @@ def propose(texts: DataFrame, row_id: str, text: str, hedged: Column | None = No
         F.count_if(kind("speaker_names_language", "hindi")).alias("names_h"),
     )
     rows = base.join(per, row_id, "left").na.fill(0, ["eastern", "hindi", "names_b", "names_h"])
-    thin = (F.col("n") < LEAST_WORDS) | (F.col("d") * 2 < F.col("n"))
+    outside = F.array().cast("array<string>")
+    if supplied is not None:
+        named_there = supplied.where("supports is not null and supports not in ('bhojpuri', 'hindi')").groupBy(row_id).agg(F.array_sort(F.collect_set("supports")).alias("outside"))
+        rows = rows.join(named_there, row_id, "left")
+        outside = F.coalesce("outside", outside)
     e, named = F.col("eastern"), F.col("names_b") > 0
-    rule = (
-        F.when(thin, "too_few_words_or_not_devanagari")
-        .when(e >= 2, "two_or_more_distinct_markers")
-        .when((e == 1) & named & ~F.col("hedged"), "one_marker_and_speaker_names_bhojpuri")
-        .when((e == 1) & named, "one_marker_and_name_but_hedged")
-        .when(e == 1, "one_marker_alone")
-        .when(named, "name_alone")
+    r = {k: F.lit(v) for k, v in RULES.items()}
+    eastern = F.when(e >= 2, r["two"]).when((e == 1) & named, F.when(F.col("hedged"), r["hedged"]).otherwise(r["named"])).when(e == 1, r["one"]).when(named, r["name"])
+    hindi = F.when(F.col("hindi") >= 2, r["hindi"]).when((F.col("hindi") == 1) & (F.col("names_h") > 0), r["hindi_named"])
+    part = lambda label, rule: F.struct(F.lit(label).alias("label"), rule.alias("rule"))
+    found = F.array_compact(
+        F.array(
+            F.when(hindi.isNotNull(), part("hindi", hindi)),
+            F.when(eastern.isin(RULES["two"], RULES["named"]), part("bhojpuri_candidate", eastern)).when(eastern.isNotNull(), part("related_variety_uncertain", eastern)),
+        )
     )
-    label = F.when(rule.isin("two_or_more_distinct_markers", "one_marker_and_speaker_names_bhojpuri"), "bhojpuri_candidate").when(rule.isNotNull(), "related_variety_uncertain")
-    hindi = F.when((F.col("hindi") >= 2) | ((F.col("hindi") == 1) & (F.col("names_h") > 0)), "hindi")
-    both = F.array_compact(F.array(hindi, label))
-    labels = F.when(thin, F.array(F.lit("other_or_insufficient"))).when(F.size(both) == 0, F.array(F.lit("related_variety_uncertain"))).otherwise(both)
-    return rows.select(row_id, labels.alias("labels"), F.coalesce(rule, F.when(F.size(both) == 0, "no_variety_specific_evidence"), F.lit("hindi_forms_only")).alias("rule"))
+    found = F.concat(found, F.transform(outside, lambda x: F.struct(F.concat(x, F.lit("_candidate")).alias("label"), r["supplied"].alias("rule"))))
+    thin = (F.col("n") < LEAST_WORDS) | (F.col("d") * 2 < F.col("n"))
+    parts = F.when(thin, F.array(part("other_or_insufficient", r["thin"]))).when(F.size(found) == 0, F.array(part("related_variety_uncertain", r["none"]))).otherwise(found)
+    out = rows.select(row_id, parts.alias("parts"))
+    first = F.coalesce(F.get(F.filter("parts", lambda p: p["label"] != "hindi"), F.lit(0)), F.get("parts", F.lit(0)))
+    return out.select(row_id, F.transform("parts", lambda p: p["label"]).alias("labels"), first["rule"].alias("rule"), "parts")
 
 
 def route(label: Column | str) -> Column:
@@ -128,6 +150,9 @@ def route(label: Column | str) -> Column:
         .otherwise(F.concat(F.lit("Likely "), display_name(label)))
     )
     code = F.when(known, "hi-IN")
+    # What is said of the mode.
+    mode = F.when(label == "other_or_insufficient", "; no recognition mode chosen").when(code.isNull(), "; no recognition mode configured").when(label == "hindi", "").otherwise("; recognized using Hindi mode.")
+    shown = F.concat(shown, mode)
     return F.struct(code.alias("code"), (~label.isin("hindi", "other_or_insufficient")).alias("workaround"), shown.alias("display"))
 
 
@@ -135,3 +160,12 @@ def matches_route(labels: Column, submitted: Column) -> Column:
     """Whether the codes of all labels are just the code that was submitted."""
     codes = F.array_distinct(F.array_compact(F.transform(labels, lambda x: route(x)["code"])))
     return (F.size(codes) == 1) & (F.get(codes, F.lit(0)) == submitted)
+
+
+def labelled(texts: DataFrame, row_id: str, text: str, submitted: Column, **rest) -> DataFrame:
+    """row_id, submitted, mixed (several parts), parts (label, rule, code, workaround, display), summary, matches_route: the proposal of
+    each text with its routes, beside the code that it was recognised with. rest: as in propose()."""
+    given = propose(texts, row_id, text, **rest).join(texts.select(row_id, submitted.alias("submitted")).dropDuplicates([row_id]), row_id)
+    parts = F.transform("parts", lambda p: F.struct(p["label"].alias("label"), p["rule"].alias("rule"), route(p["label"])["code"].alias("code"), route(p["label"])["workaround"].alias("workaround"), route(p["label"])["display"].alias("display")))
+    out = given.select(row_id, "submitted", (F.size("parts") > 1).alias("mixed"), parts.alias("parts"), matches_route(F.col("labels"), F.col("submitted")).alias("matches_route"))
+    return out.withColumn("summary", F.concat(F.when(F.col("mixed"), "Mixed: ").otherwise(""), F.array_join(F.transform("parts", lambda p: p["display"]), " | ")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from varnika.functions import text as X
 from varnika.operators import align, evaluation, markers, metrics, routing, similarity, splits, turns
-from varnika.plans.common import DOCUMENTS, RECORDS, SCORED, STRIP_SQL, WORDS_SQL, documents, records, scored
+from varnika.plans.common import DOCUMENTS, FAMILIES, RECORDS, SCORED, STRIP_SQL, WORDS_SQL, documents, records, scored
 from varnika.session import table
 
 Q, S = {}, {}
@@ -78,6 +78,17 @@ def e17_final_answers(spark, sf):
     return e.select("result_key", F.when(F.col("finish_reason") == "length", X.whole_sentences(answer)).otherwise(answer).alias("answer"))
 
 
+@query
+def a44_named_languages(spark, sf):
+    """Recognised languages against the condition's true one: exact, the common language instead, or wrong."""
+    b = table(spark, sf, "boli_reviews").select("id", "recognition").distinct()
+    return evaluation.named_language(b.select(F.lit("bho").alias("truth"), F.get_json_object("recognition", "$.language").alias("detected")), "hi", ("hi", "en"))
+
+
+S["a44_named_languages"] = """WITH b AS (SELECT DISTINCT id, recognition FROM boli_reviews), d AS (SELECT coalesce(lower(trim(json_extract_string(recognition, '$.language'))), '') AS t FROM b)
+SELECT 'bho' AS truth, count(*) AS n, count(*) FILTER (contains(t, 'bho')) AS exact, count(*) FILTER (NOT contains(t, 'bho') AND contains(t, 'hi')) AS fallback, count(*) FILTER (NOT contains(t, 'bho') AND NOT contains(t, 'hi')) AS wrong FROM d"""
+
+
 _BLOCK = _st("list_last(string_split(raw_output, '</think>'))")
 S["e17_final_answers"] = rf"""WITH e AS (SELECT DISTINCT result_key, finish_reason, raw_output FROM experiment_evon_results WHERE raw_output IS NOT NULL),
 k AS (SELECT *, {_BLOCK} AS block FROM e),
@@ -338,11 +349,13 @@ S["a4_group_sizes"] = f"WITH {DOCUMENTS} SELECT variety, count(*) AS rows, count
 
 @query
 def a28_accuracy(spark, sf):
-    """Accuracy and top-2 accuracy."""
-    return evaluation.accuracy(scored(spark, sf)).select("n", R6("accuracy").alias("accuracy"), R6("top2").alias("top2"))
+    """Accuracy, top-2 and family accuracy."""
+    return evaluation.accuracy(scored(spark, sf), FAMILIES).select("n", *[R6(c).alias(c) for c in ("accuracy", "top2", "family")])
 
 
-S["a28_accuracy"] = f"""WITH {SCORED} SELECT count(*) AS n, round(avg(("true" = pred)::INT), 6) AS accuracy, round(avg(("true" = pred OR "true" = second)::INT), 6) AS top2 FROM s"""
+_FAMILY = lambda c: "CASE " + " ".join(f"WHEN {c} = '{k}' THEN '{v}'" for k, v in FAMILIES.items()) + " END"
+_SAME_FAMILY = f"""({_FAMILY('"true"')} = {_FAMILY('pred')})::INT"""
+S["a28_accuracy"] = f"""WITH {SCORED} SELECT count(*) AS n, round(avg(("true" = pred)::INT), 6) AS accuracy, round(avg(("true" = pred OR "true" = second)::INT), 6) AS top2, round(avg({_SAME_FAMILY}), 6) AS family FROM s"""
 
 
 @query
@@ -406,12 +419,12 @@ SELECT label, round(coalesce(h / nullif(p, 0), 0), 6) AS precision, round(coales
 
 @query
 def a34_class_summary(spark, sf):
-    """Recall and confidence when right and wrong, per class."""
-    r = evaluation.class_summary(scored(spark, sf))
-    return r.select("true", "n", *[R6(c).alias(c) for c in ("recall", "confidence_right", "confidence_wrong")])
+    """Recall, top-2, family and confidence when right and wrong, per class."""
+    r = evaluation.class_summary(scored(spark, sf), FAMILIES)
+    return r.select("true", "n", *[R6(c).alias(c) for c in ("recall", "top2", "family", "confidence_right", "confidence_wrong")])
 
 
-S["a34_class_summary"] = f"""WITH {SCORED} SELECT "true", count(*) AS n, round(avg(("true" = pred)::INT), 6) AS recall, round(avg(p) FILTER ("true" = pred), 6) AS confidence_right, round(avg(p) FILTER ("true" <> pred), 6) AS confidence_wrong FROM s GROUP BY 1"""
+S["a34_class_summary"] = f"""WITH {SCORED} SELECT "true", count(*) AS n, round(avg(("true" = pred)::INT), 6) AS recall, round(avg(("true" = pred OR "true" = second)::INT), 6) AS top2, round(avg({_SAME_FAMILY}), 6) AS family, round(avg(p) FILTER ("true" = pred), 6) AS confidence_right, round(avg(p) FILTER ("true" <> pred), 6) AS confidence_wrong FROM s GROUP BY 1"""
 
 
 @query
@@ -507,7 +520,7 @@ def a18_top_changes(spark, sf):
 @query
 def a19_recurring(spark, sf):
     """Substitutions among the most frequent of several varieties."""
-    return align.recurring(align.top_changes(align.steps(_aligned(spark, sf), ["variety"]), "variety", "replace", 40), "variety", 40, 2)
+    return align.recurring(align.top_changes(align.steps(_aligned(spark, sf), ["variety"]), "variety", "replace", 8), "variety")
 
 
 @query
@@ -540,6 +553,13 @@ def a22_difference_classes(spark, sf):
     return s.withColumn("kind", X.pair_class("source", "target")).groupBy("variety").pivot("kind", ["IGNORE", "WRONG", "UNSURE"]).agg(F.sum("n")).na.fill(0)
 
 
+@query
+def a23_consequences(spark, sf):
+    """Much changed words per variety: of the same work, of another, or undecided."""
+    s = align.substitutions(align.steps(_aligned(spark, sf), ["variety"]), ["variety"]).groupBy("variety", "source", "target").agg(F.count("*").alias("n"))
+    return s.withColumn("kind", X.consequence("source", "target")).where("kind is not null").groupBy("variety", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("pairs"))
+
+
 @query
 def a24_edit_mix(spark, sf):
     """Shares of kinds of change."""
@@ -590,13 +610,24 @@ def r2_labels(spark, sf):
 
 @query
 def r3_routes(spark, sf):
-    """How each label is sent and shown."""
-    labels = spark.createDataFrame([("hindi",), ("bhojpuri_candidate",), ("bundeli_candidate",), ("related_variety_uncertain",), ("other_or_insufficient",), ("braj_candidate",)], "label string")
-    return labels.select("label", routing.route("label").alias("r")).select("label", "r.*")
+    """How each source of documents would be sent and shown if it were a label."""
+    labels = table(spark, sf, "source_targets").select(F.concat("source", F.lit("_candidate")).alias("label"))
+    known = table(spark, sf, "region").where("r_regionkey = 0").select(F.explode(F.array(*[F.lit(x) for x in ("hindi", "bhojpuri_candidate", "related_variety_uncertain", "other_or_insufficient")])).alias("label"))
+    return labels.union(known).select("label", routing.route("label").alias("r")).select("label", "r.*")
 
 
-S["r3_routes"] = """SELECT * FROM (VALUES ('hindi', 'hi-IN', false, 'Hindi'), ('bhojpuri_candidate', 'hi-IN', true, 'Likely Bhojpuri'), ('bundeli_candidate', 'hi-IN', true, 'Likely Bundeli'), ('related_variety_uncertain', 'hi-IN', true, 'Related variety, uncertain'),
-('other_or_insufficient', NULL, false, 'Other language or insufficient speech'), ('braj_candidate', NULL, true, 'Likely Braj')) t(label, code, workaround, display)"""
+S["r3_routes"] = """WITH l AS (SELECT source || '_candidate' AS label FROM source_targets UNION ALL SELECT unnest(['hindi', 'bhojpuri_candidate', 'related_variety_uncertain', 'other_or_insufficient']) FROM region WHERE r_regionkey = 0),
+d AS (SELECT *, array_to_string(list_transform(string_split(regexp_replace(label, '_candidate$', ''), '_'), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name, label IN ('hindi', 'bhojpuri_candidate', 'related_variety_uncertain') AS known FROM l)
+SELECT label, CASE WHEN known THEN 'hi-IN' END AS code, label NOT IN ('hindi', 'other_or_insufficient') AS workaround,
+CASE label WHEN 'hindi' THEN 'Hindi' WHEN 'related_variety_uncertain' THEN 'Related variety, uncertain; recognized using Hindi mode.' WHEN 'other_or_insufficient' THEN 'Other language or insufficient speech; no recognition mode chosen'
+ELSE 'Likely ' || name || CASE WHEN known THEN '; recognized using Hindi mode.' ELSE '; no recognition mode configured' END END AS display FROM d"""
+
+
+@query
+def r4_labelled(spark, sf):
+    """Turns with their proposed parts and routes beside the code they were recognised with."""
+    r = reviews(spark, sf).where("recognized_text is not null")
+    return routing.labelled(r, "id", "recognized_text", F.lit("hi-IN")).groupBy("mixed", "matches_route", "summary").agg(F.count("*").alias("n"))
 
 
 # ---- turns

@@ -9,6 +9,10 @@ from varnika.session import table
 NAMES = {"hi": ("hi", "hin", "hindi"), "bho": ("bho", "bhojpuri"), "mai": ("mai", "maithili"), "awa": ("awa", "awadhi"), "mwr": ("mwr", "marwari"), "en": ("en", "eng", "english")}
 
 
+#: Families of the varieties.
+FAMILIES = {"bho": "bihari", "mai": "bihari", "hi": "hindi", "awa": "hindi", "mwr": "rajasthani", "en": "english"}
+
+
 def variety(c: str) -> Column:
     """The variety that a label names, null if none."""
     bare = F.regexp_extract(F.lower(F.trim(c)), "^([a-z]+)", 1)
