@@ -74,6 +74,17 @@ def test_ingest(spark):
     assert ingest.unknown_fields(df) == ["_n", "audio", "dst", "key", "src"]
 
 
+def test_pairs_errors_and_sizes(spark):
+    a = spark.createDataFrame([("hi", "bho")] * 3, "anchor_language string, target_language string")
+    assert ingest.one_language_pair(a, a) == ("hi", "bho")
+    for other in (a.limit(0), a.union(spark.createDataFrame([("hi", "mai")], a.schema))):
+        with pytest.raises(ValueError):
+            ingest.one_language_pair(other)
+    status = spark.createDataFrame([(str(i), "invalid" if i % 2 else "written", f"e{i}", i) for i in range(20)], "id string, status string, error string, n int")
+    assert [r.error for r in ingest.first_errors(status, F.col("n")).orderBy("error").collect()] == ["e1", "e3", "e5", "e7", "e9"]
+    assert splits.skipped_sizes(a, (1, 3, 5)) == ([1, 3], [5])
+
+
 def test_table_changes(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "x"), (3, "c"), (3, "d")], "k int, v string")
@@ -147,6 +158,16 @@ def test_alignment(spark):
     assert (s.clips, s.words, s.edits) == (1, 4, 2)
     assert {(r.word, r.source) for r in align.coverage(al, ["id"]).collect()} == {("हम", "मैं"), ("घर", "EQUAL"), ("जाता", "EQUAL")}
     assert {r.word: r.fate for r in align.word_fates(al, ["id"]).collect()} == {"मैं": "हम", "घर": "UNCHANGED", "जाता": "UNCHANGED", "हूँ": "DELETED"}
+    neg = spark.createDataFrame([(1, "नहीं जाता मत", "नाहीं जाता"), (2, "वह मत जा", "वह अब जा"), (3, "मत जा", "मत जा")], "id int, h string, p string")
+    fates = {r.fate: r.n for r in align.negation_fates(align.aligned(neg, ["id"], X.tokens("h"), X.tokens("p")), []).collect()}
+    assert fates == {"kept": 1, "deleted": 1, "lost": 1, "unchanged": 1}
+    train = spark.createDataFrame([("a", "x", "y")] * 3 + [("a", "z", "y"), ("b", "q", "r")], "variety string, source string, target string")
+    test = spark.createDataFrame([("a", "z", "y"), ("b", "x", "y"), ("b", "q", "r"), ("a", "n", "n2")], train.schema)
+    pooled, own = align.candidate_recall(train, test).first(), align.candidate_recall(train, test, by=("variety",)).first()
+    assert (pooled.n, pooled.unseen, pooled.top1, pooled.top3) == (4, 0.25, 0.5, 0.75) and (own.n, own.unseen, own.top1, own.top3) == (4, 0.5, 0.25, 0.5)
+    clips = spark.createDataFrame([("1", "y", "x"), ("1", "w", "EQUAL"), ("2", "y", "EQUAL"), ("3", "w", "EQUAL")], "clip string, word string, source string")
+    sweep = align.rule_sweep(spark.createDataFrame([("y", "x")] * 12, "word string, source string"), clips, (10,), (0.9,)).first()
+    assert (sweep.rules, sweep.changed, sweep.fixed, sweep.damaged, sweep.net) == (1, 2, 1, 1, 0) and sweep.improved == sweep.worsened == pytest.approx(1 / 3)
     fuzzy = {r.word: r.fate for r in align.fuzzy_fates(df.where("id = 1"), ["id"], X.tokens("h"), X.tokens("p")).collect()}
     assert fuzzy["घर"] == "UNCHANGED" and fuzzy["हूँ"] == "DELETED"
 

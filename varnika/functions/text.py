@@ -150,11 +150,11 @@ def script_class(c: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), "empty").when(d & latin, "mixed").when(d, "devanagari").when(latin, "latin").otherwise("other")
 
 
-def final_answer(c: Column | str) -> Column:
-    """What follows the last closing think tag, then the first REPLY:, to the end of its line."""
+def final_answer(c: Column | str, longest: int = 400) -> Column:
+    """What follows the last closing think tag, then the first REPLY:, to the end of its line, so many characters at most."""
     block = strip(F.substring_index(F.col(c) if isinstance(c, str) else c, "</think>", -1))
     rest = F.when(F.contains(block, F.lit("REPLY:")), strip(F.regexp_extract(block, r"(?s)^.*?REPLY:(.*)$", 1))).otherwise(block)
-    return strip(F.regexp_extract(rest, r"^([^\n\r]*)", 1))
+    return F.substring(strip(F.regexp_extract(rest, r"^([^\n\r]*)", 1)), 1, longest)
 
 
 def last_tag(c: Column | str, tag: str, until: str | None = None) -> Column:

@@ -84,6 +84,17 @@ def word_fates(al: DataFrame, key: list[str], words: list[str] | None = None) ->
     return rows.where(F.col("word").isin(words)) if words is not None else rows
 
 
+# Words that negate and do nothing else.
+NEGATIONS = ("नहीं", "नही", "नइखे", "नईखे", "मत", "नाहीं")
+
+
+def negation_fates(al: DataFrame, key: list[str]) -> DataFrame:
+    """key, fate, n of the negating words of h: unchanged, deleted, kept (replaced by words among which one negates) or lost."""
+    rows = al.select(*key, F.explode("ops").alias("o")).select(*key, "o.op", "o.p", F.explode("o.h").alias("word")).where(F.col("word").isin(*NEGATIONS))
+    fate = F.when(F.col("op") == "equal", "unchanged").when(F.col("op") == "delete", "deleted").when(F.exists("p", lambda w: w.isin(*NEGATIONS)), "kept").otherwise("lost")
+    return rows.groupBy(*key, fate.alias("fate")).agg(F.count("*").alias("n"))
+
+
 def edit_mix(al: DataFrame) -> DataFrame:
     """Share of words (the longer side) by kind of change: one_to_one, multi_word, delete, insert."""
     st = steps(al, [])
@@ -104,7 +115,8 @@ def rules(cov: DataFrame, least: int = 1) -> DataFrame:
 
 def rule_sweep(train: DataFrame, test: DataFrame, supports: tuple[int, ...] = (10, 25, 50), precisions: tuple[float, ...] = (0.90, 0.95, 0.98)) -> DataFrame:
     """For each setting: rules, changed, fixed, damaged, net places when the rules of the training coverage are applied to the test
-    coverage. Of several rules of one word the best supported counts."""
+    coverage, and if that has a column clip, the share of clips improved and worsened. Of several rules of one word the best supported
+    counts."""
     found = rules(train)
     best = found.withColumn("__n", F.row_number().over(W.partitionBy("word").orderBy(F.desc("support"), "source"))).where("__n = 1").drop("__n")
     grid = train.sparkSession.createDataFrame([(s, p) for s in supports for p in precisions], "least int, precision double")
@@ -115,7 +127,15 @@ def rule_sweep(train: DataFrame, test: DataFrame, supports: tuple[int, ...] = (1
     applied = places.join(n, "word").join(hits, ["word", "source"], "left").groupBy("least", "precision").agg(F.sum("n").alias("changed"), F.sum(F.coalesce("hit", F.lit(0))).alias("fixed"), F.sum("right").alias("damaged"))
     counted = own.groupBy("least", "precision").agg(F.count("*").alias("rules"))
     out = F.broadcast(grid).join(counted, ["least", "precision"], "left").join(applied, ["least", "precision"], "left")
-    return out.select("least", "precision", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rules", "changed", "fixed", "damaged")]).withColumn("net", F.col("fixed") - F.col("damaged"))
+    names = ["rules", "changed", "fixed", "damaged"]
+    if "clip" in test.columns:
+        gain = F.when(F.col("source") == F.col("__to"), 1).when(F.col("source") == "EQUAL", -1).otherwise(0)
+        per = test.join(own.select("word", F.col("source").alias("__to"), "least", "precision"), "word").groupBy("least", "precision", "clip").agg(F.sum(gain).alias("gain"))
+        clips = test.agg(F.count_distinct("clip").alias("__clips"))
+        moved = per.groupBy("least", "precision").agg(F.count_if(F.col("gain") > 0).alias("improved"), F.count_if(F.col("gain") < 0).alias("worsened"))
+        moved = moved.crossJoin(F.broadcast(clips)).select("least", "precision", *[(F.col(c) / F.col("__clips")).alias(c) for c in ("improved", "worsened")])
+        out, names = out.join(moved, ["least", "precision"], "left"), [*names, "improved", "worsened"]
+    return out.select("least", "precision", *[F.coalesce(c, F.lit(0)).alias(c) for c in names]).withColumn("net", F.col("fixed") - F.col("damaged"))
 
 
 def error_flags(train: DataFrame, test: DataFrame, thresholds: tuple[float, ...] = (0.05, 0.1, 0.2, 0.5)) -> DataFrame:
@@ -129,12 +149,14 @@ def error_flags(train: DataFrame, test: DataFrame, thresholds: tuple[float, ...]
     return out.select("threshold", "flagged", (F.col("flagged") / F.col("words")).alias("share"), F.expr("right / nullif(flagged, 0)").alias("precision"), F.expr("right / nullif(wrong, 0)").alias("recall"))
 
 
-def candidate_recall(train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """Of the test substitutions (source, target), how many have the true source among the first k sources that training saw for the target."""
-    counted = train.groupBy("target", "source").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("n"), "source")))
-    got = test.join(ranked.select("target", "source", "rank"), ["target", "source"], "left")
-    return got.agg(F.count("*").alias("n"), *[F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"top{k}") for k in ks])
+def candidate_recall(train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (1, 3, 10), by: tuple[str, ...] = ()) -> DataFrame:
+    """Of the test substitutions (by, source, target): n, unseen (share whose target training never saw changed, in the same group), and
+    how many have the true source among the first k sources that training saw for the target."""
+    key = [*by, "target"]
+    counted = train.groupBy(*key, "source").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), "source")))
+    got = test.join(ranked.select(*key, "source", "rank"), [*key, "source"], "left").join(counted.select(*key, F.lit(True).alias("seen")).distinct(), key, "left")
+    return got.agg(F.count("*").alias("n"), F.avg(F.col("seen").isNull().cast("double")).alias("unseen"), *[F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"top{k}") for k in ks])
 
 
 def fuzzy_fates(df: DataFrame, key: list[str], h: Column, p: Column, gap: float = 0.92) -> DataFrame:

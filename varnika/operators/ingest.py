@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -81,6 +83,19 @@ def ingest_report(status: DataFrame, known_audio: DataFrame | None = None) -> Da
     return counted.crossJoin(missing.agg(F.count("*").alias("missing_audio")))
 
 
+def first_errors(status: DataFrame, *order: Column, n: int = 5) -> DataFrame:
+    """The first few faults of invalid rows in this order, for a report."""
+    return status.where("status = 'invalid'").orderBy(*order).limit(n).select("id", "error")
+
+
+def one_language_pair(*tables: DataFrame) -> tuple[str, str]:
+    """The languages that all rows of all tables have; more than one pair, or none, raises."""
+    pairs = reduce(DataFrame.unionByName, (t.select("anchor_language", "target_language") for t in tables)).distinct().limit(2).collect()
+    if len(pairs) != 1:
+        raise ValueError(f"{len(pairs)} language pairs or more, not one")
+    return tuple(pairs[0])
+
+
 def insert_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """existing and those of new whose key is not there (insert, on conflict do nothing). Of equal new keys one is taken, the smallest row."""
     fresh = new.join(existing.select(key), key, "left_anti")

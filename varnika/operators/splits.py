@@ -74,6 +74,12 @@ def nested_samples(df: DataFrame, key: str, sizes: tuple[int, ...], seed: int =
     return ranked.withColumn("size", F.explode(F.array(*[F.lit(k) for k in sizes]))).where("position <= size")
 
 
+def skipped_sizes(teaching: DataFrame, sizes: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """(sizes that the teaching rows allow, those skipped)."""
+    n = teaching.count()
+    return [k for k in sizes if k <= n], [k for k in sizes if k > n]
+
+
 def leakage(teaching: DataFrame, held_out: DataFrame, fields: tuple[str, ...] = ("id", "anchor_text", "target_text")) -> DataFrame:
     """field, shared (how many values stand in both), example (the smallest) for each field."""
     out = None

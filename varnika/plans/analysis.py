@@ -92,7 +92,7 @@ SELECT 'bho' AS truth, count(*) AS n, count(*) FILTER (contains(t, 'bho')) AS ex
 _BLOCK = _st("list_last(string_split(raw_output, '</think>'))")
 S["e17_final_answers"] = rf"""WITH e AS (SELECT DISTINCT result_key, finish_reason, raw_output FROM experiment_evon_results WHERE raw_output IS NOT NULL),
 k AS (SELECT *, {_BLOCK} AS block FROM e),
-a AS (SELECT result_key, finish_reason, {_st("regexp_extract(CASE WHEN contains(block, 'REPLY:') THEN " + _st("substring(block, strpos(block, 'REPLY:') + 6)") + r" ELSE block END, '^([^\n\r]*)', 1)")} AS answer FROM k)
+a AS (SELECT result_key, finish_reason, substring({_st("regexp_extract(CASE WHEN contains(block, 'REPLY:') THEN " + _st("substring(block, strpos(block, 'REPLY:') + 6)") + r" ELSE block END, '^([^\n\r]*)', 1)")}, 1, 400) AS answer FROM k)
 SELECT result_key, CASE WHEN finish_reason = 'length' AND regexp_extract(answer, '(?s)^(.+[।.?!])', 1) <> '' THEN regexp_extract(answer, '(?s)^(.+[।.?!])', 1) ELSE answer END AS answer FROM a"""
 
 
@@ -543,7 +543,8 @@ def _halves(spark, sf):
 @query
 def a21_rule_sweep(spark, sf):
     """Rules of the training records applied to the others, in nine settings."""
-    return align.rule_sweep(*_halves(spark, sf))
+    c = align.coverage(_aligned(spark, sf), ["id", "split"]).withColumnRenamed("id", "clip")
+    return align.rule_sweep(c.where("split = 'train'"), c.where("split <> 'train'")).withColumns({k: R6(k) for k in ("improved", "worsened")})
 
 
 @query
@@ -575,8 +576,9 @@ def a25_error_flags(spark, sf):
 @query
 def a26_candidate_recall(spark, sf):
     """Whether the true word is among the first candidates."""
-    s = align.substitutions(align.steps(_aligned(spark, sf), ["split"]), ["split"])
-    return align.candidate_recall(s.where("split = 'train'"), s.where("split <> 'train'"))
+    s = align.substitutions(align.steps(_aligned(spark, sf), ["split", "variety"]), ["split", "variety"])
+    halves = s.where("split = 'train'"), s.where("split <> 'train'")
+    return align.candidate_recall(*halves).withColumn("ranked", F.lit("pooled")).unionByName(align.candidate_recall(*halves, by=("variety",)).withColumn("ranked", F.lit("by variety")))
 
 
 @query
@@ -585,6 +587,12 @@ def a27_word_fates(spark, sf):
     return align.word_fates(_aligned(spark, sf), ["variety"], ["बानी", "आउर", "खातिर", "अहै", "छी"]).groupBy("variety", "word", "fate").agg(F.count("*").alias("n"))
 
 
+@query
+def a27_negation_fates(spark, sf):
+    """Whether negations survive."""
+    return align.negation_fates(_aligned(spark, sf), ["variety"])
+
+
 @query
 def a48_wilson_gate(spark, sf):
     """Which words have a safe counterpart: fuzzy alignment, Wilson bound, entropy."""
