@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varnika.operators import ingest, splits
-from varnika.plans.common import RECORDS, STRIP_SQL, records
+from varnika.plans.common import DOCUMENTS, RECORDS, STRIP_SQL, documents, records
 from varnika.session import table
 
 Q, S = {}, {}
@@ -251,10 +251,17 @@ SELECT first, count(*) AS n FROM (SELECT x, min(y) AS first FROM (SELECT x, y FR
 @query
 def m7_class_split(spark, sf):
     """Documents split by source where their language has enough rows in test and validation, else by row."""
-    from varnika.plans.common import documents
-
     d = documents(spark, sf).where("variety is not null and source is not null").select("doc_id", "variety", "source")
     return splits.class_split(d, "source", "variety", "doc_id").groupBy("variety", "by_group", "split").agg(F.count("*").alias("n"))
 
 
+S["m7_class_split"] = f"""WITH {DOCUMENTS}, x AS (SELECT doc_id, variety, source FROM d WHERE variety IS NOT NULL AND source IS NOT NULL),
+g AS (SELECT coalesce(nullif(source, ''), doc_id::VARCHAR) AS g, count(*) AS n FROM x GROUP BY 1), o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY sha256('42:' || g) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS every FROM g),
+t AS (SELECT *, before < round_even(every * 0.6::DOUBLE, 0) AS train FROM o), k AS (SELECT *, coalesce(sum(n) FILTER (train) OVER (), 0) AS taken FROM t),
+p AS (SELECT g, CASE WHEN train THEN 'train' WHEN before - taken < round_even(every * 0.2::DOUBLE, 0) THEN 'validation' ELSE 'test' END AS part FROM k),
+y AS (SELECT x.*, part, sha256('42:' || doc_id::VARCHAR) AS h FROM x JOIN p ON p.g = coalesce(nullif(source, ''), doc_id::VARCHAR)),
+l AS (SELECT variety, count(*) FILTER (part = 'test') >= 15 AND count(*) FILTER (part = 'validation') >= 15 AS by_group FROM y GROUP BY 1),
+z AS (SELECT y.variety, by_group, part, ('0x' || h[1:8])::BIGINT / 4294967296.0::DOUBLE AS share FROM y JOIN l USING (variety))
+SELECT variety, by_group, CASE WHEN by_group THEN part WHEN share < 0.6 THEN 'train' WHEN share < 0.8 THEN 'validation' ELSE 'test' END AS split, count(*) AS n FROM z GROUP BY ALL"""
+
 QUERIES, SQL = Q, S
